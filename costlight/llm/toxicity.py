@@ -2,7 +2,8 @@
 
 Severity has ordered grades 0..K-1. One weight vector serves all thresholds: P(grade > k) =
 sigmoid(w.x - theta_k) with theta increasing, and the result is the expected grade. Features are
-hashed words (log of their count) chosen by the z-value of their log odds, and the rate of such words.
+hashed words and word beginnings (log of their count) chosen by the z-value of their log odds, and
+their rate.
 
 Where labels only say toxic or not, grades 1..GRADES-1 are given to the toxic ones by how
 dense the chosen words are in them. The fit uses at most MAX_LABELLED labelled rows, those with the
@@ -29,12 +30,34 @@ MIN_Z = 4.0
 GRADES = 4
 
 
-def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed feature of each word, its document, and words by document."""
+#: Words count whole and by their first so many bytes, so that inflected and compound forms share evidence.
+STEMS = (4, 5)
+#: A chosen feature must be this much likelier (log odds) in toxic documents.
+MIN_ODDS = 2.0
+
+
+def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features, their documents, words by document, and a key that near copies mostly share."""
+    n = len(off) - 1
     data = V.LOWER[data]
     start, end, woff = V.words(data, off, V.ALNUM)
-    h = (V.word_hashes(data, start, end) >> U64(64 - BITS)).astype(np.int32) if len(start) else np.zeros(0, np.int32)
-    return h, np.repeat(np.arange(len(off) - 1), np.diff(woff)), np.diff(woff)
+    count = np.diff(woff)
+    key = np.zeros(n, U64)
+    if not len(start):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), count, key
+    doc = np.repeat(np.arange(n), count)
+    rolling = V.Rolling(V.BYTE_VALUE[data])
+    h = rolling.spans(start, end)
+    with np.errstate(over="ignore"):
+        pair = V.mix(h * U64(V.BASE) + np.append(h[1:], U64(0)))
+    key[count > 0] = np.minimum.reduceat(pair, woff[:-1][count > 0])
+    found, docs = [h], [doc]
+    for size in STEMS:
+        long = np.flatnonzero(end - start > size)
+        with np.errstate(over="ignore"):
+            found.append(V.mix(rolling.spans(start[long], start[long] + size) + U64(size)))
+        docs.append(doc[long])
+    return (np.concatenate(found) >> U64(64 - BITS)).astype(np.int32), np.concatenate(docs), count, key
 
 
 @dataclass
@@ -87,8 +110,8 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3,
     return p[:k], np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])]))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: list[int], graded: bool, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """rows: features, their counts and words of each labelled document; grade: its label.
+def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], grade: list[int], graded: bool, max_features: int = MAX_FEATURES) -> OrdinalModel:
+    """rows: features, their counts, words and key of each labelled document; grade: its label.
 
     Without labels of both kinds, the model says grade 0 for all (or 1 for all, if all are toxic).
     """
@@ -101,10 +124,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: list[int], grad
     doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     feature = np.concatenate([r[0] for r in rows]).astype(np.int64)
     count = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    c1, c0 = np.bincount(feature[bad[doc]], minlength=size), np.bincount(feature[~bad[doc]], minlength=size)
+    # Near copies (rows with one key and label) count once in the choice of features.
+    _, one = np.unique(np.array([r[3] for r in rows], np.int64) ^ bad, return_index=True)
+    apart = np.zeros(len(rows), bool)
+    apart[one] = True
+    n1, n0 = int((bad & apart).sum()), int((~bad & apart).sum())
+    c1, c0 = np.bincount(feature[(bad & apart)[doc]], minlength=size), np.bincount(feature[(~bad & apart)[doc]], minlength=size)
     odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
     z = odds / np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
-    least = MIN_Z if n1 >= 100 else 2.5
+    z[odds < MIN_ODDS] = 0
+    least = MIN_Z if n1 >= 100 else 2.0
     chosen = np.argsort(-z, kind="stable")[:max_features]
     chosen = chosen[z[chosen] >= least]
     slots = np.full(size, -1, np.int32)
@@ -129,16 +158,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: list[int], grad
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = V.flat(batch.column(0))
-        feats, counts, words = [], [], []
+        feats, counts, words, keys = [], [], [], []
         for i, j in V.chunks(off):
-            f, d, w = _features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            f, d, w, own = _features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            keys += own.view(np.int64).tolist()
             key, n = np.unique(d.astype(np.int64) << BITS | f, return_counts=True)
             cut = np.searchsorted(key >> BITS, np.arange(j - i + 1))
             f = (key & ((1 << BITS) - 1)).astype(np.int32)
             feats += [f[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             counts += [n[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             words += w.tolist()
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int64())], names=["grade", "f", "c", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int64()), pa.array(keys, pa.int64())], names=["grade", "f", "c", "words", "key"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", graded: bool = False) -> OrdinalModel:
@@ -149,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     sample = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(F.col(label_column).cast("int")).alias("grade")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     # Bounded by max_labelled rows of 12 bytes.
     known = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).join(F.broadcast(sample), F.col(id_column) == F.col("label_id")).select("text", "grade")
-    got = known.mapInArrow(_collect, "grade int, f binary, c binary, words long").toArrow()
-    rows = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), w) for f, c, w in zip(got["f"].to_pylist(), got["c"].to_pylist(), got["words"].to_pylist(), strict=True)]
+    got = known.mapInArrow(_collect, "grade int, f binary, c binary, words long, key long").toArrow()
+    rows = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), w, k) for f, c, w, k in zip(*(got[c].to_pylist() for c in ("f", "c", "words", "key")), strict=True)]
     return train(rows, got["grade"].to_pylist(), graded)
 
 
@@ -158,7 +188,7 @@ def _score_batch(model: OrdinalModel, column: pa.Array) -> np.ndarray:
     data, off = V.flat(column)
     out = [np.zeros((0, len(model.thetas)))]
     for i, j in V.chunks(off):
-        f, d, w = _features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        f, d, w, _ = _features(data[off[i] : off[j]], off[i : j + 1] - off[i])
         out.append(model.above(model.matrix(f, d, w)))
     return np.concatenate(out)
 
