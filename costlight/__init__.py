@@ -1,0 +1,3 @@
+"""Cost-waste analytics on Spark."""
+
+__version__ = "0.1.0"
