@@ -40,7 +40,7 @@ U64 = np.uint64
 PIECE = 1 << 20
 ENTRY, REFINE, MARK = 1, 2, 4
 LEVEL, MERGING, NEW, LOCAL = -2, -1, 0, 1
-ROWS = "key long, fp long, dig long, doc long, pos int, n int, src byte"
+ROWS = "fp long, dig long, doc long, pos int, n int, src byte"
 SCANNED = "fp long, dig long, doc long, pos int, n int, src byte, flags byte"
 
 
@@ -162,11 +162,10 @@ def _anchors(spec: Windows):
             again = ~first
             if not spec.within and len(doc):
                 again &= doc != doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-            key = np.where(again, V.mix(doc.view(U64)).view(np.int64), fp)
             src = np.where(again, LOCAL, NEW).astype(np.int8)
             for s in range(0, len(fp), 100_000):
                 e = slice(s, s + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[e]) for x in (key, fp, dig, doc, pos, n, src)], names=["key", "fp", "dig", "doc", "pos", "n", "src"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[e]) for x in (fp, dig, doc, pos, n, src)], names=["fp", "dig", "doc", "pos", "n", "src"])
 
     return run
 
@@ -311,8 +310,10 @@ class RunIndex:
             size *= 2
         for src, levels in ((MERGING, merged), (LEVEL, self.levels)):
             for _, _, level in levels:
-                rows = rows.union(level.select(F.col("fp"), "fp", "dig", "doc", "pos", "n", F.lit(src).cast("byte")))
-        ordered = rows.repartition("key").sortWithinPartitions("fp", "dig", "src", "doc", "pos").drop("key")
+                rows = rows.union(level.select("fp", "dig", "doc", "pos", "n", F.lit(src).cast("byte")))
+        # Blocks that repeat in their own batch need no partner; they are dealt out by document.
+        dealt = F.when(F.col("src") == LOCAL, F.xxhash64("doc")).otherwise(F.col("fp"))
+        ordered = rows.repartition(dealt).sortWithinPartitions("fp", "dig", "src", "doc", "pos")
         scanned, path = store.write(ordered.mapInArrow(_scan(spec), SCANNED), "run")
         self.levels.append((size, path, scanned.where(F.col("flags").bitwiseAND(ENTRY) != 0)))
         self.texts = texts if self.texts is None else self.texts.union(texts)

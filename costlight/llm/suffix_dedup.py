@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .runs import ByteTokens, Windows, remove_repeats
 
-#: 100-byte matches; suffixes are sampled by the smallest hash of 32 bytes in each window.
-SPEC = Windows(width=100, gram=32, tokens=ByteTokens, within=True)
+#: 100-byte matches; suffixes are sampled by the smallest hash of 24 bytes in each window.
+SPEC = Windows(width=100, gram=24, tokens=ByteTokens, within=True)
 
 
 def suffix_array_dedup(df: DataFrame, min_bytes: int = 100, batches: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -22,6 +22,6 @@ def suffix_array_dedup(df: DataFrame, min_bytes: int = 100, batches: int = 2, id
     Null and empty texts give zeros and the hash of nothing. Texts under min_bytes are never cut.
     Repeated ids: rows count as documents in the order (id, text).
     """
-    spec = SPEC if min_bytes == SPEC.width else Windows(min_bytes, max(1, min_bytes * 32 // 100), ByteTokens, True)
+    spec = SPEC if min_bytes == SPEC.width else Windows(min_bytes, max(1, min_bytes * 24 // 100), ByteTokens, True)
     out = remove_repeats(df, spec, batches, id_column, text_column, with_text)
     return out.select(F.col("id").alias(id_column), F.col("n_tokens").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))
