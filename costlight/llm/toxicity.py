@@ -24,7 +24,7 @@ from . import vectext as V
 
 U64 = np.uint64
 BITS = 18
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 MAX_FEATURES = 512
 MIN_Z = 4.0
 GRADES = 4
@@ -121,9 +121,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], grade: list[int],
     n1, n0 = int(bad.sum()), int((~bad).sum())
     if not n1 or not n0:
         return OrdinalModel(np.full(size, -1, np.int32), np.zeros(1), np.full(1, 40.0 if not n1 else -40.0), np.zeros(0))
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    feature = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    count = np.concatenate([r[1] for r in rows]).astype(np.float64)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    feature = np.concatenate([r[0] for r in rows])
+    count = np.concatenate([r[1] for r in rows])
     # Near copies (rows with one key and label) count once in the choice of features.
     _, one = np.unique(np.array([r[3] for r in rows], np.int64) ^ bad, return_index=True)
     apart = np.zeros(len(rows), bool)
