@@ -30,8 +30,8 @@ MARK = 0x2581
 #: Stands for a mark of the text itself; no piece holds it.
 OWN_MARK = 0x110000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CHUNK = 4 << 20
-CELLS = 4_000_000
+CHUNK = 2 << 20
+CELLS = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -265,6 +265,7 @@ def encode_texts(df: DataFrame, pieces: Pieces, id_column: str = "doc_id", text_
                 exact = [t == old[a:b] for t, a, b in zip(texts, o[:-1].tolist(), o[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(toff.astype(np.int32)), pa.array(ids), mask=column.slice(i, j - i).is_null())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, pa.array(np.diff(toff)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(exact, pa.bool_())], names=["id", "ids", "n_tokens", "decoded_sha256", "exact"])
+            V.release()
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, decoded_sha256 string, exact boolean").withColumnRenamed("id", id_column)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact_dedup, kd_shards, minhash, pieces, pii, substring_dedup, suffix_dedup, toxicity
+from . import chat, decontam, exact_dedup, kd_shards, minhash, pieces, pii, store, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,7 @@ def op8_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store.small_batches(spark)
     return pieces.encode_texts(_table(spark, sf_dir, "documents"), pieces.load())
 
 

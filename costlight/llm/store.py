@@ -70,6 +70,13 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 RID_IS_ID = "rid_is_id"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in batches of at most so many rows, unless the session asks for fewer."""
+    if int(spark.conf.get(BATCH_ROWS, "10000")) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
 
 
 def numbered(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", whole: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ an odd base: the hash of any span comes from two prefix sums and a power of the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +72,14 @@ def chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def table(members: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True
