@@ -9,8 +9,8 @@ register floor(1 - log_b(x)), limited to 0..Q+1. Registers of a union are the ma
 2. The registers are cut into bands; classes that agree in a band link to the band's first class
    (a star, so links grow with the rows). Connected classes are candidate groups; every pair over
    the threshold lies within one, but for a chance of about (1 - s**ROWS)**BANDS.
-3. In a group, a pivot is compared with all other members at a time. The joint likelihood of the
-   registers (how many are larger, smaller and equal) estimates the similarity and drops pairs far
+3. In a group, a pivot is compared with the members that share one of its rarest shingles (an exact
+   prefix filter, so a passage common to unlike texts makes no pairs). The joint likelihood of the registers (how many are larger, smaller and equal) estimates the similarity and drops pairs far
    below the threshold; the rest is verified on the full sets. Members of the largest component need
    not be pivots: every pair outside it is tested, so no link between components is lost.
 4. Groups over GROUP_BYTES are dealt out in blocks; each block holds the group's first members too
@@ -40,6 +40,8 @@ MARGIN = 0.25
 #: A group of more bytes of sets is dealt out in blocks.
 GROUP_BYTES = 64 << 20
 SHARED_PIVOTS = 8
+#: Shingles that are handled at a time.
+CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 1 << 32, M, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -188,43 +190,89 @@ class _Union:
             self.size[low] = self.size[roots].sum()
 
 
+class _Shared:
+    """Which members share a shingle of their prefixes: all pairs over the threshold do.
+
+    A member's prefix holds its rarest shingles in the group (ties by hash), so many that a pair without
+    a common one cannot reach the threshold. What many unlike members have in common stays outside.
+    """
+
+    def __init__(self, h: np.ndarray, off: np.ndarray, percent: int):
+        ordered = np.sort(h)
+        rare, owners = [], []
+        for i, j in V.chunks(off, CHUNK):
+            part = h[off[i] : off[j]]
+            size = np.diff(off[i : j + 1])
+            owner = np.repeat(np.arange(i, j), size)
+            seen = np.searchsorted(ordered, part, "right") - np.searchsorted(ordered, part, "left")
+            order = np.lexsort((part, seen, owner))
+            rank = np.arange(len(part)) - np.repeat(off[i:j] - off[i], size)
+            keep = (rank < np.repeat(size + -percent * size // 100 + 1, size)) & (seen[order] > 1)
+            rare.append(part[order[keep]])
+            owners.append(owner[keep])
+        rare, owners = np.concatenate(rare), np.concatenate(owners)
+        order = np.argsort(rare, kind="stable")
+        self.members = owners[order]
+        self.low = np.searchsorted(rare, rare, "left", sorter=order)
+        self.many = np.searchsorted(rare, rare, "right", sorter=order) - self.low
+        self.begin = np.searchsorted(owners, np.arange(len(off)))
+
+    def of(self, i: int) -> np.ndarray:
+        """Members that share one with member i, itself too, some more than once."""
+        own = slice(self.begin[i], self.begin[i + 1])
+        return self.members[_runs(self.low[own], self.many[own])]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of runs one after the other."""
+    off = np.cumsum(size)
+    return np.arange(off[-1] if len(off) else 0) - np.repeat(off - size - start, size)
+
+
+def _common(own: np.ndarray, h: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many shingles each of the members at has in common with the sorted set own."""
+    size = off[at + 1] - off[at]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(len(at), np.int64)
+    for i, j in V.chunks(edge, CHUNK):
+        part = h[_runs(off[at[i:j]], size[i:j])]
+        hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
+        out[i:j] = np.add.reduceat(hit, edge[i:j] - edge[i], dtype=np.int64)
+    return out
+
+
 def link(h: np.ndarray, off: np.ndarray, regs: np.ndarray, percent: int, queries: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """Component of each member (its first member's number) of a group, and how many pivots were tested.
 
-    Exact on the pairs that the estimate doesn't drop. With queries, just these members are pivots.
+    Sets are not empty. Exact on the pairs that the estimate doesn't drop. With queries, just these members are pivots.
     """
     n = len(off) - 1
     size = np.diff(off)
     union = _Union(n)
-    owner = np.repeat(np.arange(n), size)
+    shared = _Shared(h, off, percent)
     done = np.zeros(n, bool)
-    tested = 0
-    todo = iter(queries.tolist()) if queries is not None else iter(())
-    while True:
-        if queries is not None:
-            i = next(todo, None)
-        else:
-            main = int(np.argmax(np.bincount(union.root, minlength=n)))
-            left = np.flatnonzero(~done & (union.root != main)) if tested else np.arange(min(n, 1))
-            i = int(left[0]) if len(left) else None
-        if i is None:
-            return union.root, tested
-        done[i] = True
-        tested += 1
-        a, b = size[i], size
-        near = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (union.root != union.root[i])
-        at = np.flatnonzero(near)
-        if len(at):
-            at = at[estimate(regs[i], regs[at], float(a), size[at].astype(float)) >= percent / 100 - MARGIN]
-        if len(at):
-            own = h[off[i] : off[i + 1]]
-            if len(at) > n // 4:
-                k = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                inter = np.bincount(owner, own[k] == h, minlength=n)[at].astype(np.int64)
-            else:
-                inter = np.array([np.isin(h[off[x] : off[x + 1]], own, assume_unique=True).sum() for x in at])
-            at = at[100 * inter >= percent * (a + size[at] - inter)]
-            union.join(i, at)
+    tested = main = 0  # main: a member of the largest component
+    left = queries if queries is not None else np.arange(n)
+    while len(left):
+        for i in left.tolist():
+            if queries is None and tested and union.root[i] == union.root[main]:
+                continue
+            done[i] = True
+            tested += 1
+            at = shared.of(i)
+            at = np.unique(at[union.root[at] != union.root[i]])
+            a, b = size[i], size[at]
+            at = at[100 * np.minimum(a, b) >= percent * np.maximum(a, b)]
+            if len(at):
+                at = at[estimate(regs[i], regs[at], float(a), size[at].astype(float)) >= percent / 100 - MARGIN]
+            if len(at):
+                inter = _common(h[off[i] : off[i + 1]], h, off, at)
+                union.join(i, at[100 * inter >= percent * (a + size[at] - inter)])
+                if union.size[union.root[i]] > union.size[union.root[main]]:
+                    main = i
+        # The largest component may have become another one since its members were passed over.
+        left = np.flatnonzero(~done & (union.root != union.root[main])) if queries is None else left[:0]
+    return union.root, tested
 
 
 def _sets(size: int):
