@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,24 +37,50 @@ ALPHABETS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеио
 _CLASS = {c: x for pair in ALPHABETS.values() for x in pair for c in x} | dict.fromkeys("0123456789", "0123456789")
 
 _WORD = r"[^\W\d_]"
-PATTERN = re.compile(
-    "|".join(
+#: What finds each kind, in the order of preference. A local part of an address is at most 64 characters long.
+_FINDERS = {
+    "email": r"(?P<email>[\w.%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)",
+    "secret": r"(?:(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,200})",
+    "token": r"(?P<token>(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))",
+    "digits": "|".join(
         (
-            r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)",
-            r"(?:(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,200})",
-            r"(?P<token>(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))",
             r"(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))",
             r"(?P<card>(?<!\d)\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?!\d))",
             r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))",
             r"(?P<phone>(?<![\w(+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d))",
+        )
+    ),
+    "name": "|".join(
+        (
             rf"(?:\b(?P<title>{'|'.join(TITLES)})\.? +)(?P<name>(?!(?:The|Der|Die|Das|Le|La|El)\b){_WORD}+(?: {_WORD}+)?)",
             rf"\b(?P<given>(?:{'|'.join(n for names in NAMES.values() for n in names)}) (?=[A-ZÀ-ÞА-ЯΑ-Ω]){_WORD}{{2,}})",
         )
-    )
-)
+    ),
+}
 TYPES = ("email", "secret", "token", "ip", "card", "ssn", "phone", "name")
-#: A text without any of these holds nothing that the pattern finds.
-_CUE = re.compile(r"[@\d]|(?i:password|passwd|pwd|token|secret|api_?key)|" + "|".join(rf"\b{x}\b" for x in [*TITLES, *(n for names in NAMES.values() for n in names)]))
+
+#: Each of these starts with plain characters, which the search skips to.
+_DIGIT, _HEX, _UPPER_HEX = re.compile(r"\d"), re.compile("[0-9a-f][0-9a-f]{31}"), re.compile("[0-9A-F][0-9A-F]{31}")
+_NAMED = re.compile("|".join([*TITLES, *(n for names in NAMES.values() for n in names)]))
+_KEYWORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
+
+
+@lru_cache
+def _pattern(*kinds: str) -> re.Pattern:
+    return re.compile("|".join(_FINDERS[k] for k in kinds))
+
+
+def _kinds(text: str) -> list[str]:
+    """Keys of _FINDERS that may find something: a kind left out finds nothing in the text."""
+    low = text.casefold()
+    cues = {
+        "email": "@" in text,
+        "secret": any(k in low for k in _KEYWORDS),
+        "token": "AKIA" in text or _HEX.search(text) or _UPPER_HEX.search(text),
+        "digits": _DIGIT.search(text),
+        "name": _NAMED.search(text),
+    }
+    return [k for k, found in cues.items() if found]
 
 
 def _luhn(digits: list[int]) -> int:
@@ -167,11 +194,11 @@ class Surrogates:
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and (type, start, end, surrogate) of each entity of the given text."""
-        if not _CUE.search(text):
+        if not (kinds := _kinds(text)):
             return text, []
         out, found, at = [], [], 0
-        for m in PATTERN.finditer(text):
-            group = next(k for k in (*TYPES, "given") if m.group(k) is not None)
+        for m in _pattern(*kinds).finditer(text):
+            group = m.lastgroup
             kind = "name" if group == "given" else group
             a, b = m.span(group)
             new = self.of(kind, text[a:b])
