@@ -242,3 +242,23 @@ def test_pieces_match_the_plain_programme_the_library_and_round_trip(spark):
     lib = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     for t in ("Hello world", "The quick brown fox jumps", "Ünïcödé straße 12345"):
         assert next(r.ids for r in pieces.encode_texts(spark.createDataFrame([(1, t, 1)], DOCS), p).collect()) == lib.encode(t)
+
+
+def test_pii_cues_leave_nothing_out():
+    """Each kind is found where it stands alone, whatever its cue, and long runs take no more than linear time."""
+    make = pii.Surrogates(b"k")
+    alone = {
+        "email": "x@example.org",
+        "secret": "paſſword: hunterhunter",
+        "token": "deadbeefabcdeffedcba" + "abcdef" * 2,
+        "ip": "10.0.0.1",
+        "card": "4111 1111 1111 1111",
+        "ssn": "123-45-6789",
+        "phone": "(555) 123-4567",
+        "name": "Anna Bell",
+    }
+    for kind, text in alone.items():
+        assert [x[0] for x in make.replace(f"so {text} it is")[1]] == [kind]
+    assert make.replace("no such thing") == ("no such thing", [])
+    long = "a" * 200_000 + "@example.org"
+    assert [x[1:3] for x in make.replace(long)[1]] == [(200_000 - 64, len(long))]
