@@ -16,11 +16,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_KEY = b"costlight"
+#: Bits that a round of the permutation by numbers can change.
+ROUND_BITS = 512
 
 #: Given names by gender and script (fixed values).
 NAMES = {
@@ -37,11 +40,13 @@ ALPHABETS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеио
 _CLASS = {c: x for pair in ALPHABETS.values() for x in pair for c in x} | dict.fromkeys("0123456789", "0123456789")
 
 _WORD = r"[^\W\d_]"
-#: What finds each kind, in the order of preference. A local part of an address is at most 64 characters long.
+_EMAIL = r"(?P<email>[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)"
+#: What finds each kind, in the order of preference. No kind has a greatest length but those of fixed formats (card,
+#: ssn, phone, ip, AKIA). An address starts where its run of local characters does, so each run is read once.
 _FINDERS = {
-    "email": r"(?P<email>[\w.%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)",
-    "secret": r"(?:(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,200})",
-    "token": r"(?P<token>(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))",
+    "email": rf"(?<![\w.%+-]){_EMAIL}",
+    "secret": r"(?:(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[^\s\"']{6,}+)",
+    "token": r"(?P<token>(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z]))",
     "digits": "|".join(
         (
             r"(?P<ip>(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d))",
@@ -83,6 +88,25 @@ def _kinds(text: str) -> list[str]:
     return [k for k, found in cues.items() if found]
 
 
+_REST = re.compile(rf"{_EMAIL}|[\w.%+-]*+")
+
+
+def _matches(text: str, kinds: list[str]) -> Iterator[re.Match]:
+    """The entities from left to right. What one leaves of a run of local characters may be an address too; this is tried once a run."""
+    pattern, at, tried = _pattern(*kinds), 0, 0
+    while True:
+        m = None
+        if "email" in kinds and at > tried:
+            m = _REST.match(text, at)
+            tried = m.end()
+        if not (m and m.lastgroup):
+            m = pattern.search(text, at)
+        if not m:
+            return
+        yield m
+        at = m.end()
+
+
 def _luhn(digits: list[int]) -> int:
     """Check digit for the digits before it."""
     total = 0
@@ -115,6 +139,8 @@ class Surrogates:
             order = sorted(range(k), key=lambda x: self._round(tweak, x, 1, k))
             return [order[values[0]]]
         m = n // 2
+        if max(sum((r - 1).bit_length() for r in half) for half in (radix[:m], radix[m:])) > ROUND_BITS:
+            return self._permute_long(values, radix, tweak)
         sizes = [1, 1]
         parts = [0, 0]
         for k, (v, r) in enumerate(zip(values, radix, strict=True)):
@@ -133,6 +159,19 @@ class Surrogates:
             out += x[::-1]
         return out
 
+    def _permute_long(self, values: list[int], radix: list[int], tweak: str) -> list[int]:
+        """The same network for halves that hold more than a round's bits: value by value, in linear time."""
+        m = len(values) // 2
+        parts = [np.array(x, np.uint32) for x in (values[:m], values[m:])]
+        sizes = [np.array(x, np.uint32) for x in (radix[:m], radix[m:])]
+        form = hashlib.blake2b(tweak.encode(), key=self.key).digest()
+        for number in range(10):
+            h = number % 2
+            seed = hashlib.blake2b(form + bytes([number]) + parts[1 - h].astype("<u4").tobytes(), key=self.key).digest()
+            stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * len(parts[h])), "<u4")
+            parts[h] = (parts[h] + stream % sizes[h]) % sizes[h]
+        return parts[0].tolist() + parts[1].tolist()
+
     def shape(self, text: str, tweak: str, alphabets: dict[str, str] | None = None) -> str:
         """Permutes letters and digits within their classes; all else stays, and tells formats apart."""
         low = [c.lower() if len(c.lower()) == 1 else c for c in text]
@@ -188,7 +227,7 @@ class Surrogates:
             out = self.name(text)
         else:
             out = self.shape(text, kind)
-        if len(self.known) < 1 << 16:
+        if len(self.known) < 1 << 16 and len(text) <= 1 << 8:
             self.known[kind, text] = out
         return out
 
@@ -197,7 +236,7 @@ class Surrogates:
         if not (kinds := _kinds(text)):
             return text, []
         out, found, at = [], [], 0
-        for m in _pattern(*kinds).finditer(text):
+        for m in _matches(text, kinds):
             group = m.lastgroup
             kind = "name" if group == "given" else group
             a, b = m.span(group)
