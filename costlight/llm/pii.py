@@ -1,7 +1,8 @@
 """PII surrogates: keyed, type-consistent replacements of detected entities.
 
 A surrogate is made by a keyed permutation of the entity's own format: letters become letters of the
-same script, case and kind (vowel or consonant), digits become digits, separators stay. A permutation
+same script, case and kind (vowel or consonant; other letters stay within their Unicode block), digits
+become digits, separators stay, but for a secret without any letter or digit. A permutation
 never maps two entities of one format to one surrogate, so distinctness holds without a global
 table, and the same entity gets the same surrogate wherever it comes (coreference). Octets of addresses
 stay octets, cards keep whether their check digit holds, and given names are replaced by names of the
@@ -13,6 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +41,54 @@ TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f
 
 #: Alphabets of permuted letters: (vowels, consonants) by script.
 ALPHABETS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуэюя", "бвгджзйклмнпрстфхцчшщ"), "greek": ("αεηιουω", "βγδζθκλμνξπρστφχψ")}
-_CLASS = {c: x for pair in ALPHABETS.values() for x in pair for c in x} | dict.fromkeys("0123456789", "0123456789")
+#: Unicode blocks (first, last) of letters that aren't 128 characters from a multiple of 128 on.
+BLOCKS = [(0x180, 0x24F), (0x250, 0x2AF), (0x2B0, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x500, 0x52F), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x6FF), (0x700, 0x74F), (0x750, 0x77F), (0x780, 0x7BF), (0x7C0, 0x7FF), (0x10A0, 0x10FF), (0x1100, 0x11FF), (0x1200, 0x137F), (0x13A0, 0x13FF), (0x1E00, 0x1EFF), (0x1F00, 0x1FFF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x2A6DF)]
+
+
+def _cased(c: str) -> bool:
+    u = c.upper()
+    return len(u) == 1 and u != c and u.lower() == c
+
+
+class _Classes(dict):
+    """The characters that one may become; none for what stays. Letters not in ALPHABETS: those of the same block, script, category and case."""
+
+    def __missing__(self, c: str) -> str:
+        kind = unicodedata.category(c)
+        if kind == "Nd":
+            zero = ord(c) - unicodedata.decimal(c)
+            self[c] = "".join(chr(zero + k) for k in range(10))
+        elif kind[0] == "L":
+            for x in (own := self._block(c, kind)):
+                self[x] = own
+        else:
+            self[c] = ""
+        return self[c]
+
+    def _block(self, c: str, kind: str) -> str:
+        k = bisect_right(BLOCKS, (ord(c), sys.maxunicode)) - 1
+        low, high = BLOCKS[k] if k >= 0 and ord(c) <= BLOCKS[k][1] else (ord(c) & ~127, ord(c) | 127)
+        cased, stays, script = _cased(c), c.lower() == c, unicodedata.name(c).split()[0]
+        block = (chr(x) for x in range(low, high + 1))
+        return "".join(x for x in block if unicodedata.category(x) == kind and (x == c or x not in _NAMED_CLASSES) and _cased(x) == cased and (x.lower() == x) == stays and unicodedata.name(x).split()[0] == script)
+
+
+class _Symbols(dict):
+    """For a secret without letters and digits: ASCII symbols become ASCII symbols, others stay in their category and 128 characters."""
+
+    def __missing__(self, c: str) -> str:
+        kind = unicodedata.category(c)
+        if c.isascii():
+            own = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+        else:
+            own = "".join(x for x in map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1)) if unicodedata.category(x) == kind and x.lower() == x and not x.isspace())
+        self[c] = own if c in own else ""
+        return self[c]
+
+
+_NAMED_CLASSES = {c: x for pair in ALPHABETS.values() for x in pair for c in x} | dict.fromkeys("0123456789", "0123456789")
+_CLASS, _SYMBOLS = _Classes(_NAMED_CLASSES), _Symbols()
+_HEX_CLASS = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
 
 _WORD = r"[^\W\d_]"
 _EMAIL = r"(?P<email>[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+)"
@@ -123,6 +174,7 @@ class Surrogates:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
         self.known: dict[tuple[str, str], str] = {}
         self.cycle: dict[str, str] = {}
+        self.orders: dict[tuple[str, int], list[int]] = {}
         for (gender, script), names in NAMES.items():
             order = sorted(names, key=lambda n: hashlib.blake2b(f"{gender}{script}{n}".encode(), key=self.key).digest())
             self.cycle |= {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
@@ -136,7 +188,10 @@ class Surrogates:
         n = len(values)
         if n == 1:
             k = radix[0]
-            order = sorted(range(k), key=lambda x: self._round(tweak, x, 1, k))
+            if (order := self.orders.get((tweak, k))) is None:
+                order = sorted(range(k), key=lambda x: self._round(tweak, x, 1, k))
+                if len(self.orders) < 64:
+                    self.orders[tweak, k] = order
             return [order[values[0]]]
         m = n // 2
         if max(sum((r - 1).bit_length() for r in half) for half in (radix[:m], radix[m:])) > ROUND_BITS:
@@ -175,7 +230,8 @@ class Surrogates:
     def shape(self, text: str, tweak: str, alphabets: dict[str, str] | None = None) -> str:
         """Permutes letters and digits within their classes; all else stays, and tells formats apart."""
         low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-        kinds = [(alphabets or _CLASS).get(c, "") for c in low]
+        classes = _CLASS if alphabets is None else alphabets
+        kinds = [classes[c] for c in low]
         at = [k for k, x in enumerate(kinds) if x]
         if not at:
             return text
@@ -184,7 +240,7 @@ class Surrogates:
         out = list(text)
         for k, v in zip(at, new, strict=True):
             c = kinds[k][v]
-            out[k] = c.upper() if text[k] != low[k] else c
+            out[k] = c.upper() if text[k] != low[k] and _cased(c) else c
         return "".join(out)
 
     def name(self, text: str) -> str:
@@ -217,7 +273,7 @@ class Surrogates:
             it = iter(new)
             out = "".join(str(next(it)) if c.isdigit() else c for c in text)
         elif kind == "token" and re.fullmatch("[0-9a-f]+|[0-9A-F]+", text):
-            out = self.shape(text, "token", dict.fromkeys("0123456789abcdef", "0123456789abcdef"))
+            out = self.shape(text, "token", _HEX_CLASS)
         elif kind == "token":
             out = text[:4] + self.shape(text[4:], "token")
         elif kind == "phone" and text[0] == "+":
@@ -225,6 +281,8 @@ class Surrogates:
             out = m[0] + self.shape(text[m.end() :], f"phone{m[0]}")
         elif kind == "name":
             out = self.name(text)
+        elif kind == "secret" and not any(_CLASS[c.lower() if len(c.lower()) == 1 else c] for c in text):
+            out = self.shape(text, kind, _SYMBOLS)
         else:
             out = self.shape(text, kind)
         if len(self.known) < 1 << 16 and len(text) <= 1 << 8:
