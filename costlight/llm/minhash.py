@@ -155,11 +155,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of all nodes of edges (a, b), a and b long.
 
-    Large-star and small-star steps by turns; each step's edges are written to the shared folder.
+    Large-star and small-star steps by turns until nothing changes; each step's edges are written to the shared folder.
     """
     spark = edges.sparkSession
     now, path = store.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(60):
+    same = False
+    while not same:
         both = now.union(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -171,8 +172,6 @@ def components(edges: DataFrame) -> DataFrame:
         same = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first() == now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         store.drop(spark, path)
         now, path = after, new
-        if same:
-            break
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.union(labels.select(F.col("label"), F.col("label")).distinct())
 
