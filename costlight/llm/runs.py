@@ -1,7 +1,7 @@
 """A log-structured index of sorted runs that finds repeated windows of tokens.
 
 A window is W tokens (bytes or words) in a row.  Storing every window would take many times
-the corpus, so the runs hold a sparse suffix array: only suffixes at *anchors*, the leftmost
+the corpus, so the runs hold hashes at *anchors* only (they are no suffix arrays), the leftmost
 smallest k-gram hash of a window.  Equal windows have the same anchor at the same offset, so a
 repeated window always meets its partner at an anchor.  The consecutive windows that share an
 anchor form a *block*; a run entry is (fp: hash of the k tokens that begin the suffix, dig: hash

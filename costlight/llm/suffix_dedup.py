@@ -1,7 +1,7 @@
-"""Suffix-array dedup: a logarithmic family of sparse suffix arrays over the corpus bytes.
+"""Suffix-array dedup, by hashed anchor blocks instead of suffix arrays.
 
-Each batch of documents gets an array of the suffixes at its anchors, merge-scanned with the
-levels that exist; every byte covered by a 100-byte string that starts earlier (in a smaller
+Each batch of documents gets a run of its anchors' blocks in the order of their hashes (no suffix
+order, no common prefixes), merge-scanned with the levels that exist; every byte covered by a 100-byte string that starts earlier (in a smaller
 doc_id, or before in the same document; overlaps count) is removed.  See runs.py.
 """
 
