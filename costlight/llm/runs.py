@@ -12,7 +12,7 @@ A new batch is sorted into a run and merge-scanned with the levels that exist:
 
 * a block whose fp and dig came earlier repeats wholly: all its windows are marked;
 * a first block whose fp is shared with a different block is *refined*: the tokens of these
-  blocks are fetched from the texts and their windows compared one by one;
+  blocks are fetched from the texts and their windows' hashes compared one by one;
 * other blocks are new.
 
 First blocks become the batch's level; levels of equal size merge in the same pass, so there

@@ -1,7 +1,8 @@
 """Substring dedup: a log-structured index of word-window fingerprints.
 
-Sorted immutable runs of historical fingerprints are merge-joined with each new batch, shared
-fingerprints are verified window by window on the texts, then runs of equal size are compacted.
+Sorted immutable runs of historical fingerprints are merge-joined with each new batch, then runs of
+equal size are compacted. Blocks whose two 64-bit hashes came before are repeats without a look at the
+texts; where only the fingerprint did, the 64-bit hashes of their windows are compared. Words are never.
 Every word covered by a 13-word window whose words also start in a smaller doc_id is removed.
 See runs.py.
 """
