@@ -1,7 +1,7 @@
 """Tables in the shared folder, and the row identities that operators use.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir`` (read from the session); only
-where that is unset, as in tests, a folder of this machine is taken and set.
+where that is unset and Spark runs in one process, as in tests, a folder of this machine is taken and set.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     global _own
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if _own is None:
             _own = tempfile.mkdtemp(prefix="costlight-")
             atexit.register(shutil.rmtree, _own, True)
@@ -31,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/costlight/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, within: str | None = None) -> str:
+    return f"{within or shared_dir(spark) + '/costlight'}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -53,22 +56,59 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes a table into the shared folder and reads it back; its shuffle files go at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    old = spark.conf.get(CLEANUP, None)
-    if old is not None:
-        spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if old is not None:
-            spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _cleanup(spark: SparkSession):
+    """Within it, the shuffle files of an action go when it ends."""
+    return settings(spark, **({CLEANUP.replace(".", "__"): "true"} if spark.conf.get(CLEANUP, None) is not None else {}))
+
+
+@dataclass
+class Bucketed:
+    """A table of files by hash of some columns, so that joins on them leave it where it is."""
+
+    spark: SparkSession
+    name: str
+    path: str
+    buckets: int
+
+    @classmethod
+    def write(cls, df: DataFrame, columns: list[str], path: str, buckets: int) -> Bucketed:
+        """df is partitioned by these columns into as many partitions, so each task writes one file."""
+        table = cls(df.sparkSession, f"costlight_{uuid.uuid4().hex}", path, buckets)
+        with _cleanup(table.spark), settings(table.spark, spark__sql__maxConcurrentOutputFileWriters="4"):
+            df.write.format("parquet").bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(table.name)
+        return table
+
+    @classmethod
+    def open(cls, spark: SparkSession, schema: str, columns: list[str], path: str, buckets: int) -> Bucketed:
+        """Files of an earlier session."""
+        table = cls(spark, f"costlight_{uuid.uuid4().hex}", path, buckets)
+        spark.sql(f"CREATE TABLE {table.name} ({schema}) USING parquet CLUSTERED BY ({', '.join(columns)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return table
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop(self.spark, self.path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [x.getPath().getName() for x in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+
+
 RID_IS_ID = "rid_is_id"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -1,8 +1,8 @@
 """Substring dedup: a log-structured index of word-window fingerprints.
 
 Sorted immutable runs of historical fingerprints are merge-joined with each new batch, then runs of
-equal size are compacted. Blocks whose two 64-bit hashes came before are repeats without a look at the
-texts; where only the fingerprint did, the 64-bit hashes of their windows are compared. Words are never.
+equal size are compacted. Blocks whose fingerprint and keyed 128-bit digest of their words came before are repeats; where
+only the fingerprint did, the blocks are fetched and their windows verified word by word.
 Every word covered by a 13-word window whose words also start in a smaller doc_id is removed.
 See runs.py.
 """
@@ -18,7 +18,7 @@ from .runs import Windows, WordTokens, remove_repeats
 SPEC = Windows(width=13, gram=5, tokens=WordTokens, within=False)
 
 
-def substring_dedup(df: DataFrame, window: int = 13, batches: int = 2, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+def substring_dedup(df: DataFrame, window: int = 13, batches: int = 3, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """Per document: id_column, n_words, n_removed, n_spans, kept_sha256 (and kept, if with_text).
 
     Kept words are joined by one space. Null and empty texts have no words. Documents under window

@@ -46,8 +46,7 @@ def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(start):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), count, key
     doc = np.repeat(np.arange(n), count)
-    rolling = V.Rolling(V.BYTE_VALUE[data])
-    h = rolling.spans(start, end)
+    h = V.word_hashes(data, start, end)
     with np.errstate(over="ignore"):
         pair = V.mix(h * U64(V.BASE) + np.append(h[1:], U64(0)))
     key[count > 0] = np.minimum.reduceat(pair, woff[:-1][count > 0])
@@ -55,7 +54,7 @@ def _features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for size in STEMS:
         long = np.flatnonzero(end - start > size)
         with np.errstate(over="ignore"):
-            found.append(V.mix(rolling.spans(start[long], start[long] + size) + U64(size)))
+            found.append(V.mix(V.word_hashes(data, start[long], start[long] + size) + U64(size)))
         docs.append(doc[long])
     return (np.concatenate(found) >> U64(64 - BITS)).astype(np.int32), np.concatenate(docs), count, key
 

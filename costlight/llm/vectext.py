@@ -1,13 +1,16 @@
 """Numpy views of Arrow text: flat bytes, words, and rolling hashes.
 
 Texts are handled as UTF-8 bytes in one flat buffer with document offsets, so that every
-step is a vector operation over a bounded chunk.  Hashes are polynomials modulo 2**64 with
-an odd base: the hash of any span comes from two prefix sums and a power of the base's inverse.
+step is a vector operation over a bounded chunk.  A word is hashed eight bytes at a time through a
+non-linear step.  Sequences of tokens are hashed by doubling: the hash of 2k tokens stirs together
+those of its halves, and that of any span stirs together its first and last power of two (they
+overlap), so no algebra of the tokens survives as it does with polynomials modulo 2**64.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C13
-INVERSE = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 2 * len(have) if have is not None else 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, base, U64)]))
-        _powers[base] = have
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (a bijection)."""
@@ -44,6 +33,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def stir(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two 64-bit values in this order."""
+    with np.errstate(over="ignore"):
+        x = a * U64(BASE)
+        x += b
+        x ^= x >> U64(29)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(32)
+        x *= U64(0x94D049BB133111EB)
+    return x
+
+
 #: A 64-bit value for each byte.
 BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -114,33 +115,62 @@ class Rolling:
     """Hashes of spans of a sequence of 64-bit tokens."""
 
     def __init__(self, tokens: np.ndarray):
-        n = len(tokens)
-        self.n = n
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, U64)
-            np.cumsum(tokens * powers(BASE, n), out=self.sums[1:])
-        self.inverse = powers(INVERSE, n + 1)
+        self.n = len(tokens)
+        self.levels = [tokens]  # hash of 2**j tokens from each place on
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            half, size = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(stir(half[:-size], half[size:]) if len(half) > size else np.zeros(0, U64))
+        return self.levels[j]
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the tokens and length of each span [start, end)."""
-        with np.errstate(over="ignore"):
-            h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-            return mix(h + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        """Hash of the tokens and length of each span [start, end); spans are not empty."""
+        size = end - start
+        out = np.empty(len(start), U64)
+        power = np.frexp(size.astype(np.float64))[1] - 1
+        for j in np.unique(power).tolist():
+            at = np.flatnonzero(power == j)
+            level = self._level(j)
+            with np.errstate(over="ignore"):
+                out[at] = mix(stir(level[start[at]], level[end[at] - (1 << j)]) + size[at].astype(U64))
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of each k tokens in a row."""
         if self.n < k:
             return np.zeros(0, U64)
+        j = k.bit_length() - 1
+        level, last = self._level(j), k - (1 << j)
+        h = stir(level[: self.n - k + 1], level[last : last + self.n - k + 1])
         with np.errstate(over="ignore"):
-            h = self.sums[k:] - self.sums[:-k]
-            h *= self.inverse[: self.n - k + 1]
-            h += U64(k * 0xA24BAED4963EE407 % (1 << 64))
+            h += U64(k)
         return mix(h)
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    return Rolling(BYTE_VALUE[data]).spans(start, end)
+    """64-bit hash of each word's bytes and length."""
+    size = end - start
+    h = mix(size.astype(U64) + U64(BASE))
+    if not len(start):
+        return h
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live, left, own = slice(None), size, start
+    for at in range(0, _LONG_WORD, 8):
+        h[live] = stir(h[live], eight[own + at] & _LOW_BYTES[np.minimum(left, 8)])
+        more = left > 8
+        live = np.flatnonzero(more) if at == 0 else live[more]
+        if not len(live):
+            return mix(h)
+        left, own = left[more] - 8, own[more]
+    rest = [int.from_bytes(hashlib.blake2b(data[a + _LONG_WORD : b], digest_size=8).digest()) for a, b in zip(start[live].tolist(), end[live].tolist(), strict=True)]
+    h[live] = stir(h[live], np.array(rest, U64))
+    return mix(h)
 
 
 def window_min(v: np.ndarray, width: int) -> np.ndarray:

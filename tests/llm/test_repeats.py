@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from costlight.llm.runs import ByteTokens, Windows, WordTokens, remove_repeats
+from costlight.llm import store, substring_dedup as substring, suffix_dedup as suffix
+from costlight.llm.runs import ByteTokens, RunIndex, Windows, WordTokens, remove_repeats
 from costlight.llm.substring_dedup import substring_dedup
 from costlight.llm.suffix_dedup import suffix_array_dedup
 
@@ -107,3 +108,64 @@ def test_kept_text(spark):
     df = spark.createDataFrame([(1, text), (2, "new  start " + text)], "doc_id long, text string")
     assert {r.doc_id: bytes(r.kept) for r in substring_dedup(df, with_text=True).collect()} == {1: text.encode(), 2: b"new start"}
     assert {r.doc_id: bytes(r.kept) for r in suffix_array_dedup(df, with_text=True).collect()} == {1: text.encode(), 2: b"new  start "}
+
+
+def thue_morse(n):
+    """Two different words whose polynomial hashes modulo 2**64 are equal for every odd base, from 1024 characters on."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_equal_polynomial_hash_are_told_apart(spark, n):
+    x, y = thue_morse(n)
+    rest = " " + " ".join(f"w{i}" for i in range(12))
+    rows = [(1, x + rest), (2, y + rest), (3, x + rest)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df).collect()} == brute_words(rows, 13)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array_dedup(df).collect()} == brute_bytes(rows, 100)
+
+
+def test_hot_keys_are_refined_by_a_shuffle(spark):
+    r = random.Random(11)
+    phrase = "the very same phrase that everyone writes here "
+    rows = [(i, " ".join(f"{r.randrange(40)}" for _ in range(20)) + " " + phrase + " ".join(f"{r.randrange(40)}" for _ in range(20))) for i in range(60)]
+    rows += [(100 + i, rows[i][1][3:] + " x") for i in range(20)] + [(200, phrase * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    for most in (2, 7):
+        got = {x.id: (x.n_tokens, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df, suffix.SPEC, 3, hot_blocks=most).collect()}
+        assert got == brute_bytes(rows, 100)
+        got = {x.id: (x.n_tokens, x.n_removed, x.kept_sha256) for x in remove_repeats(df, substring.SPEC, 3, hot_blocks=most).collect()}
+        assert got == brute_words(rows, 13)
+
+
+@pytest.mark.parametrize("spec,width,brute", [(suffix.SPEC, 100, brute_bytes), (substring.SPEC, 13, brute_words)])
+def test_a_later_session_goes_on_from_the_manifest(spark, spec, width, brute):
+    rows = sorted(corpus(12))
+    df = store.numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    cuts = [rows[k][0] for k in (15, 30, 45)]
+    index = RunIndex(spark, spec)
+    for low, high in ((-1, cuts[0]), (cuts[0], cuts[1]), (cuts[1], cuts[2])):
+        index.scan(df.where(f"rid > {low} and rid <= {high}"))
+    index.save()
+    assert [x.size for x in index.levels] == [2, 1]
+    again = RunIndex.open(spark, spec, index.path)
+    again.scan(df.where(f"rid > {cuts[2]}"))
+    assert [x.size for x in again.levels] == [4]
+    gone = {}
+    for m in again.repeats(df).where(f"doc > {cuts[2]}").collect():
+        gone.setdefault(m.doc, set()).update(range(m.pos, m.pos + m.n - 1 + width))
+    want = {i: v[1] for i, v in brute(rows, width).items() if i > cuts[2]}
+    assert {i: len(gone.get(i, ())) for i in want} == want
+
+
+def test_texts_longer_than_a_piece(spark):
+    r = random.Random(13)
+    part = " ".join(f"{r.randrange(10**6)}" for _ in range(60_000))
+    long = " ".join([part, *(f"{r.randrange(10**6)}" for _ in range(120_000)), part])
+    rows = [(1, part), (2, long), (3, "x" + long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 1 << 20
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup(df).collect()} == brute_words(rows, 13)
+    got = {x.doc_id: (x.n_bytes, x.n_removed) for x in suffix_array_dedup(df).collect()}
+    assert got == {i: v[:2] for i, v in brute_bytes(rows, 100).items()}
