@@ -22,7 +22,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame(chat.HOSTILE, "conv_id long, turn long, role string, text string")
-    return chat.conversation_digests(chat.format_turn_rows(rows.unionByName(hostile)))
+    return chat.conversation_digests(chat.format_json(chat.turn_records(rows.unionByName(hostile))))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
