@@ -17,43 +17,50 @@ def tidy(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c.cast("string"), r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", ""), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it (expressions are inlined otherwise)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _date_of(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where there is no such day."""
-    text = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.to_date(F.try_to_timestamp(F.nullif(text, F.lit("-00-00")), F.lit("yyyy-MM-dd")))
+    return F.when(year != "0000", F.concat_ws("-", year, month, day).try_cast("date"))
 
 
-def _from(c: Column, pattern: str, order: str) -> Column:
-    at = {k: F.regexp_extract(c, pattern, i + 1) for i, k in enumerate(order)}
-    return F.when(c.rlike(pattern), _date_of(at["y"], at["m"], at["d"]))
+_MARK = "\x01"
+_THREE = r"^(\d{4}|\d\d?)([-/])(\d\d?)\2(\d{4}|\d\d?)((?!\d)[\s\S]*)$"
+_BASIC = rf"^(\d{{4}})(\d\d)(\d\d)(?:.{_CLOCK})?$"
+_WEEK = rf"^(\d{{4}})-?W(\d\d)(?:-?([1-7]))?(?:.{_CLOCK})?$"
 
 
 def _iso_week(c: Column) -> Column:
-    pattern = rf"^(\d{{4}})-?W(\d\d)(?:-?([1-7]))?(?:.{_CLOCK})?$"
-    year = F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).cast("int")
-    week = F.nullif(F.regexp_extract(c, pattern, 2), F.lit("")).cast("int")
-    day = F.coalesce(F.nullif(F.regexp_extract(c, pattern, 3), F.lit("")).cast("int"), F.lit(1))
+    part = lambda k: F.nullif(F.regexp_extract(c, _WEEK, k), F.lit("")).cast("int")
+    year, week, day = part(1), part(2), F.coalesce(part(3), F.lit(1))
     fourth = F.make_date(year, F.lit(1), F.lit(4))
     found = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7 + day - 1)
     monday = F.date_sub(found, F.weekday(found))
-    return F.when(c.rlike(pattern) & (week >= 1) & (F.weekofyear(monday) == week), found)
+    return F.when((week >= 1) & (F.weekofyear(monday) == week), found)
+
+
+def _three_numbers(p: Column) -> Column:
+    """p: the numbers of a date with the sign between them, and what follows: a, sign, b, c, rest."""
+    a, dash, b, c, rest = p[0], p[1] == "-", p[2], p[3], p[4]
+    two = (F.length(b) == 2) & (F.length(c) == 2)
+    first, last = (F.length(a) == 4) & (F.length(c) < 3), (F.length(a) < 3) & (F.length(c) == 4)
+    time = rest.rlike(rf"^(?:T{_HMS}{_ZONE}?|\s+{_HMS}(?:\s+(?i:utc|gmt))?)$") | (two & rest.rlike(rf"^.{_CLOCK}$"))
+    return (
+        F.when(first & ((rest == "") | (dash & time)), _date_of(a, b, c))
+        .when(last & dash & (rest == ""), _date_of(c, b, a))
+        .when(last & (rest == ""), F.coalesce(_date_of(c, b, a), _date_of(c, a, b)))
+        .when(last & ~dash & rest.rlike(rf"^\s+{_HMS}$"), _date_of(c, a, b))
+    )
 
 
 def _attempt(c: Column) -> Column:
-    """ISO 8601 first, with the day as written; then the accepted layouts, day before month."""
-    return F.coalesce(
-        _from(c, rf"^(\d{{4}})-(\d\d)-(\d\d)(?:.{_CLOCK})?$", "ymd"),
-        _from(c, rf"^(\d{{4}})(\d\d)(\d\d)(?:.{_CLOCK})?$", "ymd"),
-        _iso_week(c),
-        _from(c, r"^(\d{4})-(\d\d?)-(\d\d?)$", "ymd"),
-        _from(c, r"^(\d{4})/(\d\d?)/(\d\d?)$", "ymd"),
-        _from(c, r"^(\d\d?)/(\d\d?)/(\d{4})$", "dmy"),
-        _from(c, r"^(\d\d?)/(\d\d?)/(\d{4})$", "mdy"),
-        _from(c, rf"^(\d{{4}})-(\d\d?)-(\d\d?)T{_HMS}{_ZONE}?$", "ymd"),
-        _from(c, rf"^(\d{{4}})-(\d\d?)-(\d\d?)\s+{_HMS}(?:\s+(?i:utc|gmt))?$", "ymd"),
-        _from(c, rf"^(\d\d?)/(\d\d?)/(\d{{4}})\s+{_HMS}$", "mdy"),
-        _from(c, r"^(\d\d?)-(\d\d?)-(\d{4})$", "dmy"),
-    )
+    """ISO 8601 with the day as written, or three numbers in an accepted layout, day before month."""
+    parts = F.split(F.regexp_replace(c, _THREE, _MARK.join(f"${k}" for k in range(1, 6))), _MARK)
+    basic = F.when(c.rlike(_BASIC), _date_of(F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))).when(c.rlike(_WEEK), _iso_week(c))
+    return _let(parts, lambda p: F.when(F.size(p) == 5, _three_numbers(p)).otherwise(basic))
 
 
 def parse_date(c: Column) -> Column:
@@ -61,12 +68,17 @@ def parse_date(c: Column) -> Column:
 
     A text that fails as a whole is tried again up to its first space.
     """
-    text = tidy(c)
-    return F.coalesce(_attempt(text), F.when(F.instr(text, " ") > 0, _attempt(F.substring_index(text, " ", 1))))
+    text = lambda t: F.coalesce(_attempt(t), F.when(F.instr(t, " ") > 0, _let(F.substring_index(t, " ", 1), _attempt)))
+    return _let(tidy(c), text)
 
 
 _DIGITS = r"\d(?:_?\d)*"
-_NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
+_NUMBER = rf"^[\s\x1c-\x1f\x85\xa0]*([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)[\s\x1c-\x1f\x85\xa0]*$"
+
+
+def _plain_number(t: Column) -> Column:
+    """Text without signs between thousands and with a point as decimal mark."""
+    return F.when(t.rlike(r"\.[\s\S]*,[^.]*\z"), F.translate(t, ",.", ".")).when(t.rlike(r"\A[^.]*,[^,.]{1,2}\z"), F.translate(t, ",", ".")).otherwise(F.translate(t, ",", ""))
 
 
 def parse_cost(c: Column) -> Column:
@@ -76,19 +88,8 @@ def parse_cost(c: Column) -> Column:
     two characters follow the last comma. Infinite amounts are rejected, so that no statistic turns NaN.
     """
     text = F.replace(tidy(c), F.lit("$"), F.lit(""))
-    comma, point = F.instr(text, ",") > 0, F.instr(text, ".") > 0
-    tail = F.length(F.substring_index(text, ",", -1))
-    last_comma, last_point = F.instr(F.reverse(text), ","), F.instr(F.reverse(text), ".")
-    as_comma = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    as_point = F.replace(text, F.lit(","), F.lit(""))
-    plain = (
-        F.when(comma & point, F.when(last_comma < last_point, as_comma).otherwise(as_point))
-        .when(comma, F.when(tail.between(1, 2), F.replace(text, F.lit(","), F.lit("."))).otherwise(as_point))
-        .otherwise(text)
-    )
-    plain = tidy(plain)
-    number = F.when(plain.rlike(_NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    number = F.replace(F.regexp_extract(_let(text, _plain_number), _NUMBER, 1), F.lit("_"), F.lit("")).try_cast("double")
+    return _let(number, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def severity(z: Column, deviation: Column) -> Column:
