@@ -13,9 +13,12 @@ register floor(1 - log_b(x)), limited to 0..Q+1. Registers of a union are the ma
    prefix filter, so a passage common to unlike texts makes no pairs). The joint likelihood of the registers (how many are larger, smaller and equal) estimates the similarity and drops pairs far
    below the threshold; the rest is verified on the full sets. Members of the largest component need
    not be pivots: every pair outside it is tested, so no link between components is lost.
-4. Groups over GROUP_BYTES are dealt out in blocks; each block holds the group's first members too
-   and finds its own links; then the members left outside the main component are compared with all
-   blocks.
+4. Groups over GROUP_BYTES are split by the same prefix filter, as a join: only members that share one of their
+   rarest shingles stay together. What is still too large is dealt out in blocks; each block holds the group's first
+   members too and finds its own links; then the members left outside the main component are dealt out in
+   chunks, and each chunk is compared with each block. So a task holds at most about twice GROUP_BYTES.
+
+Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import store
 from . import vectext as V
@@ -152,15 +156,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rid[i : i + 2000], BANDS))], names=["key", "rid"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: store.Scratch | None = None) -> DataFrame:
     """node, label (smallest node reachable) of all nodes of edges (a, b), a and b long.
 
-    Large-star and small-star steps by turns until nothing changes; each step's edges are written to the shared folder.
+    Large-star and small-star steps by turns until nothing changes, however long that takes; each step's edges are
+    written to the shared folder.
     """
     spark = edges.sparkSession
+    state = lambda x: x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     now, path = store.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    same = False
-    while not same:
+    before = state(now)
+    while True:
         both = now.union(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -169,24 +175,42 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         after, new = store.write(small.where("a != b").distinct(), "edges")
-        same = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first() == now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         store.drop(spark, path)
         now, path = after, new
+        if (found := state(now)) == before:
+            break
+        before = found
+    if scratch is not None:
+        scratch.paths.append(path)
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.union(labels.select(F.col("label"), F.col("label")).distinct())
 
 
 class _Union:
+    """root: a label of each member's component, always the final one; the smaller of two components is relabelled."""
+
     def __init__(self, n: int):
         self.root = np.arange(n)
         self.size = np.ones(n, np.int64)
+        self.members: dict[int, list[np.ndarray]] = {}
 
     def join(self, i: int, others: np.ndarray) -> None:
         roots = np.unique(self.root[np.append(others, i)])
-        if len(roots) > 1:
-            low = roots[0]
-            self.root[np.isin(self.root, roots)] = low
-            self.size[low] = self.size[roots].sum()
+        if len(roots) < 2:
+            return
+        big = int(roots[self.size[roots].argmax()])
+        own = self.members.setdefault(big, [np.array([big])])
+        for r in roots[roots != big].tolist():
+            moved = np.concatenate(self.members.pop(r, [np.array([r])]))
+            self.root[moved] = big
+            self.size[big] += len(moved)
+            own.append(moved)
+
+    def firsts(self) -> np.ndarray:
+        """The first member of each member's component."""
+        low = np.full(len(self.root), len(self.root))
+        np.minimum.at(low, self.root, np.arange(len(self.root)))
+        return low[self.root]
 
 
 class _Shared:
@@ -271,7 +295,7 @@ def link(h: np.ndarray, off: np.ndarray, regs: np.ndarray, percent: int, queries
                     main = i
         # The largest component may have become another one since its members were passed over.
         left = np.flatnonzero(~done & (union.root != union.root[main])) if queries is None else left[:0]
-    return union.root, tested
+    return union.firsts(), tested
 
 
 def _sets(size: int):
@@ -288,6 +312,33 @@ def _sets(size: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of (rid, grp, h): grp, s, rid, n (the set's size)."""
+    for batch in batches:
+        data, off = V.flat(batch.column(2))
+        h, off = data.view(np.int64) if len(data) else np.zeros(0, np.int64), off // 8
+        rid, grp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for i, j in V.chunks(off, 200_000):
+            size = np.diff(off[i : j + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(grp[i:j], size)), pa.array(h[off[i] : off[j]]), pa.array(np.repeat(rid[i:j], size)), pa.array(np.repeat(size, size))], names=["grp", "s", "rid", "n"])
+
+
+def _regroup(rows: DataFrame, percent: int, scratch: store.Scratch) -> DataFrame:
+    """rid, label: the members of large groups (rid, grp, h) that share one of their rarest shingles, directly or through others.
+
+    All pairs over the threshold do: each set's rarest size - ceil(percent * size / 100) + 1 shingles (those of one member only count
+    among them) hold one that both have. Members that share none are in no link.
+    """
+    each = scratch.write(rows.select("rid", "grp", "h").mapInArrow(_shingles, "grp long, s long, rid long, n long"), "shingles")
+    often = each.groupBy("grp", "s").agg(F.count("*").alias("often"), F.min("rid").alias("low"))
+    rank = F.row_number().over(Window.partitionBy("grp", "rid").orderBy("often", "s"))
+    rare = each.join(often, ["grp", "s"]).withColumn("rank", rank).where(F.expr(f"rank <= n - (({percent} * n + 99) div 100) + 1 AND often > 1"))
+    shared = rare.select("grp", "s", "rid")
+    low = shared.groupBy("grp", "s").agg(F.min("rid").alias("low"))
+    edges = shared.join(low, ["grp", "s"]).select(F.col("rid").alias("a"), F.col("low").alias("b"))
+    return components(edges, scratch).withColumnsRenamed({"node": "rid"})
+
+
 def _link_groups(percent: int):
     """Rows in order of (grp, part, role, rid): emits links (a, b); role 1: the row is a query against role 0."""
 
@@ -334,42 +385,56 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_colum
     """
     spark = df.sparkSession
     texts = store.numbered(df, id_column, text_column) if texts is None else texts
+    scratch = store.Scratch(spark)
     sketched, _ = store.write(texts.select("rid", "text").mapInArrow(_sketch(shingle), "rid long, n long, d1 long, d2 long, regs binary"), "sketches")
     classes, _ = store.write(sketched.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("first")), "classes")
     firsts = sketched.where("n > 0").join(classes, F.col("rid") == F.col("first"), "left_semi").select("rid", "n", "regs")
     keys = firsts.select("rid", "regs").mapInArrow(_bands, "key long, rid long")
     low = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high").select("key", "low")
-    banded, _ = store.write(keys.join(low, "key").select(F.col("rid").alias("a"), F.col("low").alias("b")).where("a != b").distinct(), "bands")
-    groups, _ = store.write(components(banded), "groups")
+    banded = scratch.write(keys.join(low, "key").select(F.col("rid").alias("a"), F.col("low").alias("b")).where("a != b").distinct(), "bands")
+    groups = scratch.write(components(banded, scratch), "groups")
     member = firsts.join(groups, F.col("rid") == F.col("node")).select("rid", F.col("label").alias("grp"), "n", "regs")
-    parts, _ = store.write(groups.join(firsts, F.col("rid") == F.col("node")).groupBy(F.col("label").alias("grp")).agg(F.ceil(F.sum(F.col("n") * 8 + 2 * M) / F.lit(group_bytes)).cast("int").alias("parts")), "parts")
-    rows, _ = store.write(member.join(texts.select(F.col("rid").alias("r"), "text"), F.col("rid") == F.col("r")).select("rid", "grp", "text", "regs").mapInArrow(_sets(shingle), "rid long, grp long, n long, regs binary, h binary"), "sets")
+    rows = scratch.write(member.join(texts.select(F.col("rid").alias("r"), "text"), F.col("rid") == F.col("r")).select("rid", "grp", "text", "regs").mapInArrow(_sets(shingle), "rid long, grp long, n long, regs binary, h binary"), "sets")
+    count_parts = lambda x: x.groupBy("grp").agg(F.ceil(F.sum(F.col("n") * 8 + 2 * M) / F.lit(group_bytes)).cast("int").alias("parts"))
+    parts = scratch.write(count_parts(rows), "parts")
+    large = parts.where("parts > 1")
+    if large.limit(1).count():
+        labels = _regroup(rows.join(large, "grp", "left_semi"), percent, scratch)
+        again = rows.drop("grp").join(labels, "rid").select("rid", F.col("label").alias("grp"), "n", "regs", "h")
+        rows = scratch.write(rows.join(large, "grp", "left_anti").select("rid", "grp", "n", "regs", "h").union(again), "sets")
+        parts = scratch.write(count_parts(rows), "parts")
+        large = parts.where("parts > 1")
     rows = rows.join(parts, "grp")
     order = ["grp", "part", "role", "rid", "regs", "h"]
-    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("long")
     own = rows.where("n > 0").select("grp", part.alias("part"), F.lit(0).cast("byte").alias("role"), "rid", "regs", "h")
-    large = parts.where("parts > 1")
     find = _link_groups(percent)
-    if large.limit(1).count():
+    blocks_needed = large.limit(1).count() > 0
+    if blocks_needed:
         # The first members of a group stand in all its blocks.
         lead = rows.where("parts > 1").groupBy("grp").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rid", F.lit(1)), F.col("parts") * 64) == 0, F.col("rid")))).alias("s"), F.min("rid").alias("m"))
         lead = lead.select("grp", F.explode(F.array_distinct(F.concat(F.array("m"), F.slice("s", 1, SHARED_PIVOTS)))).alias("rid"))
-        shared = rows.join(lead, ["grp", "rid"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("part") != part)
+        shared = rows.join(lead, ["grp", "rid"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).where(F.col("part") != part)
         own = own.union(shared.select("grp", "part", F.lit(0).cast("byte"), "rid", "regs", "h"))
-    links, _ = store.write(own.repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "rid").select(*order).mapInArrow(find, "a long, b long"), "links")
-    if large.limit(1).count():
-        # Members outside their group's main component are compared with every block.
-        found, _ = store.write(components(links), "found")
-        state = rows.where("parts > 1").select("grp", "rid").join(found, F.col("rid") == F.col("node"), "left").select("grp", "rid", F.coalesce("label", "rid").alias("label"))
+    links = scratch.write(own.repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "rid").select(*order).mapInArrow(find, "a long, b long"), "links")
+    if blocks_needed:
+        # Members outside their group's main component are compared with every block, a chunk of them at a time.
+        found = scratch.write(components(links, scratch), "found")
+        state = rows.where("parts > 1").select("grp", "rid", "n").join(found, F.col("rid") == F.col("node"), "left").select("grp", "rid", "n", F.coalesce("label", "rid").alias("label"))
         sizes = state.groupBy("grp", "label").agg(F.count("*").alias("m"))
         main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"))
-        outside = state.join(main, "grp").where("label != main").select("grp", "rid")
-        asked = rows.join(outside, ["grp", "rid"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asked = asked.select("grp", "part", F.lit(1).cast("byte").alias("role"), "rid", "regs", "h")
-        blocks = rows.where("parts > 1").join(outside, ["grp", "rid"], "left_anti").select("grp", part.alias("part"), F.lit(0).cast("byte").alias("role"), "rid", "regs", "h")
-        more, _ = store.write(blocks.union(asked).repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "rid").mapInArrow(find, "a long, b long"), "more")
+        outside = scratch.write(state.join(main, "grp").where("label != main").select("grp", "rid", "n"), "outside")
+        chunks = count_parts(outside).withColumnRenamed("parts", "chunks")
+        every = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name).cast("long") - 1))
+        pair = F.col("part") * F.col("chunks") + F.col("chunk")
+        asked = rows.join(outside.select("grp", "rid"), ["grp", "rid"]).join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("chunks"))).withColumn("part", every("parts"))
+        asked = asked.select("grp", pair.alias("part"), F.lit(1).cast("byte").alias("role"), "rid", "regs", "h")
+        blocks = rows.where("parts > 1").join(chunks, "grp").withColumn("chunk", every("chunks")).withColumn("part", part)
+        blocks = blocks.select("grp", pair.alias("part"), F.lit(0).cast("byte").alias("role"), "rid", "regs", "h")
+        more = scratch.write(blocks.union(asked).repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "rid").mapInArrow(find, "a long, b long"), "more")
         links = links.union(more)
-    reach, _ = store.write(components(links), "reach")
+    reach, _ = store.write(components(links, scratch), "reach")
+    scratch.drop()
     labels = classes.join(reach, F.col("first") == F.col("node"), "left").select("d1", "d2", F.coalesce("label", "first").alias("label"))
     out = sketched.where("n > 0").select("rid", "n", "d1", "d2").join(labels, ["d1", "d2"]).select("rid", "n", "label")
     out = out.union(sketched.where("n = 0").select("rid", "n", "rid"))

@@ -61,6 +61,23 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables of one job, dropped together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = write(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+        self.paths = []
+
+
 def _cleanup(spark: SparkSession):
     """Within it, the shuffle files of an action go when it ends."""
     return settings(spark, **({CLEANUP.replace(".", "__"): "true"} if spark.conf.get(CLEANUP, None) is not None else {}))
