@@ -24,7 +24,7 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--budget", type=float)
     a.add_argument("--html", metavar="FILE")
     a.add_argument("--webhook-url")
-    a.add_argument("--webhook-min-severity", default="HIGH")
+    a.add_argument("--webhook-min-severity", type=str.upper, choices=list(notify.RANK), default="HIGH")
     a.add_argument("--company", default="")
     a.add_argument("--outputs", metavar="FILE", help="append the outputs of a CI step")
     g = sub.add_parser("gate")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,8 +114,17 @@ def center_of(values: Column) -> Column:
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
 
 
+def _as_sql(c: Column) -> str:
+    """The expression as SQL text, so that SQL and columns have one grammar; operators are called by their names."""
+    parts = re.split(r"('(?:[^'\\]|\\.)*')", c._jc.toString())
+    call = lambda x: re.sub(r"(?<![\w`])(and|or|[=<>!+*/-]{1,2})\(", r"`\1`(", x).replace("Infinity", "double('Infinity')")
+    return "".join(x if k % 2 else call(x) for k, x in enumerate(parts))
+
+
 def register_sql_functions(spark: SparkSession) -> None:
-    """SQL functions: cost_severity(z, deviation), severity_rank(name) and the table function horizon_days(day, n)."""
+    """SQL functions: parse_date(text), parse_cost(text), cost_severity(z, deviation), severity_rank(name) and the table function horizon_days(day, n)."""
+    for name, kind, body in (("parse_date", "DATE", parse_date), ("parse_cost", "DOUBLE", parse_cost)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {kind} RETURN {_as_sql(body(F.col('t')))}")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION cost_severity(z DOUBLE, deviation DOUBLE) RETURNS STRING RETURN "
         "CASE WHEN abs(z) >= 10 OR abs(deviation) >= 200 THEN 'CRITICAL' WHEN abs(z) >= 7 OR abs(deviation) >= 100 THEN 'HIGH' "

@@ -74,8 +74,8 @@ def _recommendation(r, currency: str) -> Recommendation:
         "excess": lambda: ("Investigate spend above the modelled baseline", f"{int(r.detail)} day(s) cost more than expected; at this rate that is {saving:,.2f} {currency} in 30 days."),
         "weekend": lambda: (f"Idle weekend spend in {r.service}", f"{r.service} costs {r.detail:.0%} of its weekday spend at weekends; stopping it then saves up to {saving:,.2f} {currency} in 30 days."),
         "commitment": lambda: ("Cover the steady part with a commitment", f"Nine days of ten cost {r.detail:,.2f} {currency} or more; a commitment at a typical discount of {recommend.COMMITMENT_DISCOUNT:.0%} on that part saves {saving:,.2f} in 30 days."),
-        "concentration": lambda: (f"Spend concentrated in {r.service}", f"{r.service} makes up {r.detail:.0%} of the spend; a tenth less of it saves {saving:,.2f} {currency} in 30 days."),
-        "volatility": lambda: ("Daily spend is highly volatile", f"The daily mean is {r.detail:.2f} times the standard deviation; look for batch jobs and scaling without limits."),
+        "concentration": lambda: (f"{r.service} carries most of the bill", f"{r.service} makes up {r.detail:.0%} of the spend; a tenth less of it saves {saving:,.2f} {currency} in 30 days."),
+        "volatility": lambda: ("Daily costs swing widely", f"The daily mean is {r.detail:.2f} times the standard deviation; look for batch jobs and scaling without limits."),
     }[r.rule]()
     return Recommendation(title, text, saving, r.effort)
 
@@ -84,10 +84,11 @@ def analyze(billing: Billing, analysis_type: str = "waste-audit", *, max_anomali
     """Report on one series (no keys). Figures are rounded to cents on the driver, and only here."""
     if analysis_type not in recommend.ANALYSIS_TYPES:
         raise ValueError(f"unknown analysis type {analysis_type!r}")
-    items = billing.items.cache()
+    days = billing.by_day().cache()  # a row for each service and day, whatever the number of line items
     try:
-        stats = billing.stats().first()
-        currency = (stats.currency if stats else None) or DEFAULT_CURRENCY
+        items = days.where("good")
+        stats = days.agg(F.coalesce(F.sum(F.when(F.col("good"), F.col("n"))), F.lit(0)).alias("rows_parsed"), F.coalesce(F.sum(F.when(~F.col("good"), F.col("n"))), F.lit(0)).alias("rows_skipped"), F.min(F.when(F.col("good"), F.col("named")))["currency"].alias("currency")).first()
+        currency = stats.currency or DEFAULT_CURRENCY
         daily = series.daily_series(items)
         score = baseline.scored(daily).cache()
         facts = baseline.metrics(score)
@@ -107,7 +108,7 @@ def analyze(billing: Billing, analysis_type: str = "waste-audit", *, max_anomali
         ahead = None
         if analysis_type == "cost-forecast" or budget is not None:
             f = forecast.forecast_summary(score, budget).first()
-            ahead = Forecast(f.horizon_days, round(f.projected_spend, 2), round(f.run_rate_spend, 2), round(f.daily_trend, 2), budget, f.budget_breach_day)
+            ahead = Forecast(f.horizon_days, round(f.projected_spend, 2), round(f.run_rate_spend, 2), round(f.daily_trend, 2), None if budget is None else round(budget, 2), f.budget_breach_day)
             trend = "rising" if ahead.dailyTrend > 0 else "falling" if ahead.dailyTrend < 0 else "flat"
             parts.append(f"Projected 30-day spend {ahead.projectedSpend:,.2f} ({trend}, {ahead.dailyTrend:+,.2f} a day).")
             if budget is not None:
@@ -115,7 +116,7 @@ def analyze(billing: Billing, analysis_type: str = "waste-audit", *, max_anomali
         metrics = Metrics(round(m.mean, 2), round(m.std, 2), round(m.stability, 2), round(m.waste_percentage, 2))
         return Analysis([_anomaly(r) for r in found], metrics, advice, " ".join(parts), ahead)
     finally:
-        items.unpersist()
+        days.unpersist()
         if "score" in locals():
             score.unpersist()
 

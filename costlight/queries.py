@@ -5,6 +5,9 @@ Figures are rounded to four decimals at the very end, so that the order of addit
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +16,10 @@ from pyspark.sql import types as T
 
 from .functions import parse_cost, parse_date, severity_rank
 from .operators import baseline, forecast, recommend, robust, series
-from .plans import benchmark
-from .sources import Billing, from_dataframe
+from .plans import analyze, benchmark, notify, render
+from .server import answer
+from .session import shared_folder
+from .sources import Billing, from_dataframe, read_billing_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,9 +60,41 @@ ITEMS = {
     "lineitem": "SELECT CAST(l_shipdate AS DATE) AS day, l_extendedprice * (1 - l_discount) AS cost, l_returnflag AS service FROM lineitem",
     "linestatus": "SELECT CAST(l_shipdate AS DATE) AS day, l_extendedprice * (1 - l_discount) AS cost, l_linestatus AS service FROM lineitem",
     "events": "SELECT CAST(ts AS DATE) AS day, value AS cost, event_type AS service FROM events",
+    "spiked": "SELECT CAST(ts AS DATE) AS day, value * CASE WHEN day(ts) = 15 AND event_type IN ('click', 'purchase') THEN 60 ELSE 1 END AS cost, event_type AS service FROM events",
+    "urgent": "SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice AS cost, o_orderstatus AS service FROM orders WHERE o_orderkey % 40 = 0",
+    "exports": "SELECT CAST(o_orderdate AS DATE) AS day, round(o_totalprice, 2) AS cost, CASE WHEN o_orderkey % 5 = 0 THEN 'unattributed' ELSE o_orderpriority END AS service FROM orders WHERE o_orderkey % 11 <> 0",
 }
 
 
+def spiked(spark: SparkSession, sf_dir: str) -> Billing:
+    """events with one day of much dearer clicks and purchases."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    dear = (F.dayofmonth("ts") == 15) & F.col("event_type").isin("click", "purchase")
+    return from_dataframe(df, "ts", F.col("value") * F.when(dear, 60).otherwise(1), "event_type")
+
+
+def urgent(spark: SparkSession, sf_dir: str) -> Billing:
+    """Few orders, so that the daily costs swing."""
+    return from_dataframe(spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 40 = 0"), "o_orderdate", "o_totalprice", "o_orderstatus")
+
+
+def exports(spark: SparkSession, sf_dir: str) -> Billing:
+    """orders written as CSV in the layouts of four providers into one folder, and read from there."""
+    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    df, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    day, cost = F.col("o_orderdate"), F.when(k % 11 == 0, "n/a").otherwise(F.format_string("%.2f", F.col("o_totalprice")))
+    service, money = F.when(k % 5 == 0, "  ").otherwise(F.col("o_orderpriority")), F.when(k % 3 == 0, " ").otherwise("EUR")
+    layouts = [
+        [k.alias("identity/LineItemId"), F.date_format(day, "yyyy-MM-dd'T'00:00:00'Z'").alias("lineItem/UsageStartDate"), F.lit("code").alias("lineItem/ProductCode"), service.alias("product/ProductName"), cost.alias("lineItem/UnblendedCost"), money.alias("lineItem/CurrencyCode")],
+        [F.lit("acct").alias("billing_account_id"), service.alias("service.description"), F.date_format(day, "yyyy-MM-dd HH:mm:ss 'UTC'").alias("usage_start_time"), cost.alias("cost"), money.alias("currency")],
+        [F.date_format(day, "yyyy/MM/dd").alias("Date"), service.alias("MeterCategory"), F.lit("7").alias("costCenter"), cost.alias("CostInBillingCurrency"), money.alias("BillingCurrency")],
+        [cost.alias("BilledCost"), F.lit("0").alias("EffectiveCost"), money.alias("BillingCurrency"), F.date_format(day, "yyyy-MM-dd").alias("ChargePeriodStart"), F.date_format(day, "yyyy-MM-dd").alias("ChargePeriodEnd"), service.alias("ServiceName"), F.lit("all").alias("ServiceCategory")],
+    ]
+    for n, columns in enumerate(layouts):
+        df.where(k % 4 == n).select(*columns).write.option("header", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(f"{path}/{n}")
+    return read_billing_csv(spark, path)
+
+
 def with_daily(source: str) -> str:
     return f"""WITH items AS ({ITEMS[source]}),
 totals AS (SELECT day, round(sum(cost), 6) AS cost FROM items GROUP BY day),
@@ -216,7 +253,7 @@ def zscore_median_mad(spark, sf_dir):
     return baseline.median_mad_detector(series.daily_series(orders(spark, sf_dir).items)).select("day", "zscore", "is_anomaly")
 
 
-for _name, _source in (("orders", orders), ("lineitem", lineitem), ("events", events)):
+for _name, _source in (("orders", orders), ("lineitem", lineitem), ("events", events), ("spiked", spiked)):
     _add(f"anomalies_{_name}", with_scored(_name) + f" SELECT day, {_R4('cost', 'expected', 'zscore', 'deviation')}, severity FROM scored WHERE is_anomaly")(
         lambda s, d, f=_source: baseline.anomalies(baseline.scored(series.daily_series(f(s, d).items))).select("day", "cost", "expected", "zscore", "deviation", "severity")
     )
@@ -292,6 +329,17 @@ def rec_volatility(spark, sf_dir):
     return recommend.volatility(_facts(orders(spark, sf_dir))).select(_COLUMNS)
 
 
+@_add("rec_volatility_urgent", with_facts("urgent") + f" {_RULE} ({VOLATILITY})")
+def rec_volatility_urgent(spark, sf_dir):
+    return recommend.volatility(_facts(urgent(spark, sf_dir))).select(_COLUMNS)
+
+
+@_add("efficiency_rules", with_facts("urgent") + f" {_RULE} ({VOLATILITY})")
+def efficiency_rules(spark, sf_dir):
+    billing = urgent(spark, sf_dir)
+    return recommend.recommendations(_facts(billing), series.service_daily(billing.items), "efficiency").select(_COLUMNS)
+
+
 @_add("recommendations_all", with_facts("linestatus") + with_grid("linestatus") + f" {_RULE} ({' UNION ALL '.join(f'({x})' for x in (EXCESS, WEEKEND, COMMITMENT, CONCENTRATION, VOLATILITY))})")
 def recommendations_all(spark, sf_dir):
     billing = lineitem(spark, sf_dir, "l_linestatus")
@@ -397,5 +445,122 @@ def benchmark_scores(spark, sf_dir):
     return benchmark.scores(spark)
 
 
+@_add("csv_exports", f"SELECT day, service, round(sum(cost), 4) AS cost, count(*) AS n FROM ({ITEMS['exports']}) GROUP BY day, service")
+def csv_exports(spark, sf_dir):
+    return exports(spark, sf_dir).items.groupBy("day", "service").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+
+
+@_add("csv_exports_stats", "SELECT count(CASE WHEN o_orderkey % 11 <> 0 THEN 1 END) AS rows_parsed, count(CASE WHEN o_orderkey % 11 = 0 THEN 1 END) AS rows_skipped, max(CASE WHEN o_orderkey % 3 <> 0 THEN 'EUR' END) AS currency FROM orders")
+def csv_exports_stats(spark, sf_dir):
+    return exports(spark, sf_dir).stats()
+
+
+# Reports: what analyze() returns and what is made of it. The SQL formats the same figures.
+
+_TOP = "ranked_a AS (SELECT *, row_number() OVER (ORDER BY abs(round(zscore, 2)) DESC, day) AS place FROM scored WHERE is_anomaly QUALIFY place <= 25)"
+_WHAT = "printf('%,.2f', cost) || ' spent, ' || printf('%.1f', abs(deviation)) || '% ' || CASE WHEN cost > expected THEN 'above' ELSE 'below' END || ' the ' || printf('%,.2f', expected) || ' expected for this weekday'"
+_ADVICE = (
+    "advice AS (SELECT rule, service, round(savings, 2) AS savings, effort, row_number() OVER (ORDER BY round(savings, 2) DESC, emit_order, service_rank) AS place FROM ("
+    + " UNION ALL ".join(f"({x})" for x in (EXCESS, WEEKEND, COMMITMENT, CONCENTRATION, VOLATILITY))
+    + ")), titled AS (SELECT *, CASE rule WHEN 'excess' THEN 'Investigate spend above the modelled baseline' WHEN 'weekend' THEN 'Idle weekend spend in ' || service WHEN 'commitment' THEN 'Cover the steady part with a commitment'"
+    + " WHEN 'concentration' THEN service || ' carries most of the bill' ELSE 'Daily costs swing widely' END AS title FROM advice)"
+)
+_SUMMARY = """said AS (SELECT days || ' days, ' || (SELECT count(*) FROM items) || ' line items, USD ' || printf('%,.2f', total) || ' in total: ' || printf('%,.2f', mean) || ' a day, stability ' || printf('%.2f', stability) || '. '
+  || n_anomalies || ' anomalous day(s); ' || printf('%.1f', waste_percentage) || '% of spend above the expected; savings identified: ' || printf('%,.2f', (SELECT coalesce(sum(savings), 0) FROM advice)) || ' in 30 days.' AS summary FROM facts)"""
+
+
+def with_report(source: str) -> str:
+    return f"{with_facts(source)}{with_grid(source)}, {_TOP}, {_ADVICE}, {_SUMMARY}"
+
+
+def _report(spark: SparkSession, sf_dir: str, source=spiked, **options) -> analyze.Analysis:
+    return analyze(source(spark, sf_dir), **options)
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "line long, text string")
+
+
+@_add("report_summary", with_report("spiked") + " SELECT summary FROM said")
+def report_summary(spark, sf_dir):
+    return spark.createDataFrame([(_report(spark, sf_dir).summary,)], "summary string")
+
+
+@_add("report_anomalies", with_report("spiked") + f" SELECT place, CAST(day AS VARCHAR) AS date, round(expected, 2) AS expectedCost, round(cost, 2) AS actualCost, round(deviation, 2) AS deviation, round(zscore, 2) AS zScore, severity, {_WHAT} AS description FROM ranked_a")
+def report_anomalies(spark, sf_dir):
+    found = _report(spark, sf_dir).to_dict()["anomalies"]
+    names = ("date", "expectedCost", "actualCost", "deviation", "zScore", "severity", "description")
+    return spark.createDataFrame([(n, *(a[k] for k in names)) for n, a in enumerate(found, 1)], "place long, date string, expectedCost double, actualCost double, deviation double, zScore double, severity string, description string")
+
+
+@_add("report_recommendations", with_report("spiked") + " SELECT place, title, savings AS potentialSavings, effort FROM titled")
+def report_recommendations(spark, sf_dir):
+    found = _report(spark, sf_dir).recommendations
+    return spark.createDataFrame([(n, r.title, r.potentialSavings, r.effort) for n, r in enumerate(found, 1)], "place long, title string, potentialSavings double, effort string")
+
+
+@_add("report_forecast", with_forecast("spiked") + " SELECT CAST(30 AS INTEGER) AS horizonDays, round(sum(projected), 2) AS projectedSpend, round((SELECT avg(cost) * 30 FROM daily), 2) AS runRateSpend, round((SELECT slope FROM trend), 2) AS dailyTrend, CAST(1000.57 AS DOUBLE) AS budget, CAST(min(CASE WHEN cumulative > 1000.567 THEN k END) AS INTEGER) AS budgetBreachDay FROM fc")
+def report_forecast(spark, sf_dir):
+    f = _report(spark, sf_dir, analysis_type="cost-forecast", budget=1000.567).forecast
+    return spark.createDataFrame([(f.horizonDays, f.projectedSpend, f.runRateSpend, f.dailyTrend, f.budget, f.budgetBreachDay)], "horizonDays int, projectedSpend double, runRateSpend double, dailyTrend double, budget double, budgetBreachDay int")
+
+
+_CHAT = f"""lines AS (SELECT 1 AS a, 0 AS b, '*Cost report: A & B*' AS text UNION ALL SELECT 2, 0, summary FROM said
+  UNION ALL SELECT 3, 0, 'Waste ' || printf('%.1f', waste_percentage) || '%, daily mean ' || printf('%,.2f', mean) || ', stability ' || printf('%.2f', stability) FROM facts
+  UNION ALL SELECT 4, place, '- ' || CAST(day AS VARCHAR) || ' ' || severity || ': ' || {_WHAT} FROM ranked_a WHERE place <= 10
+  UNION ALL SELECT 5, place, '- ' || title || ': ' || printf('%,.2f', savings) || ' in 30 days, effort ' || effort FROM titled WHERE place <= 5)"""
+
+
+@_add("chat_lines", f"{with_report('lineitem')}, {_CHAT} SELECT row_number() OVER (ORDER BY a, b) AS line, text FROM lines")
+def chat_lines(spark, sf_dir):
+    return _lines(spark, render.as_chat(_report(spark, sf_dir, lineitem), "A & B")["text"])
+
+
+_COMMENT = """lines AS (SELECT 1 AS a, 0 AS b, '<!-- costlight-report -->' AS text UNION ALL SELECT 2, 0, '## Cost report' UNION ALL SELECT 3, 0, '' UNION ALL SELECT 4, 0, summary FROM said
+  UNION ALL SELECT 5, 0, '' WHERE EXISTS (FROM ranked_a) UNION ALL SELECT 6, 0, '| Date | Severity | Actual | Expected | Score |' WHERE EXISTS (FROM ranked_a) UNION ALL SELECT 7, 0, '|-|-|-|-|-|' WHERE EXISTS (FROM ranked_a)
+  UNION ALL SELECT 8, place, '| ' || CAST(day AS VARCHAR) || ' | ' || severity || ' | ' || printf('%,.2f', round(cost, 2)) || ' | ' || printf('%,.2f', round(expected, 2)) || ' | ' || printf('%+.2f', round(zscore, 2)) || ' |' FROM ranked_a WHERE place <= 10
+  UNION ALL SELECT 9, 0, '' WHERE EXISTS (FROM titled) UNION ALL SELECT 10, place, '- **' || title || '**: ' || printf('%,.2f', savings) || ' in 30 days' FROM titled WHERE place <= 5)"""
+
+
+@_add("comment_lines", f"{with_report('lineitem')}, {_COMMENT} SELECT row_number() OVER (ORDER BY a, b) AS line, text FROM lines")
+def comment_lines(spark, sf_dir):
+    return _lines(spark, render.as_comment(_report(spark, sf_dir, lineitem).to_dict()))
+
+
+@_add(
+    "gate_and_outputs",
+    with_report("lineitem")
+    + """, over_ AS (SELECT count(*) AS n, arg_min(CAST(day AS VARCHAR), place) AS first FROM ranked_a WHERE severity IN ('HIGH', 'CRITICAL'))
+SELECT CAST(CASE WHEN n > 0 THEN 1 ELSE 0 END AS INTEGER) AS code, CASE WHEN n > 0 THEN n || ' anomalies at HIGH or over, first ' || first ELSE 'no anomaly at HIGH or over' END AS message, n > 0 AS reaches_high, (SELECT count(*) > 0 FROM ranked_a) AS reaches_low,
+  (SELECT CAST(count(*) AS VARCHAR) FROM ranked_a) AS anomaly_count, (SELECT CAST(round(waste_percentage, 2) AS VARCHAR) FROM facts) AS waste FROM over_""",
+)
+def gate_and_outputs(spark, sf_dir):
+    found = _report(spark, sf_dir, lineitem)
+    code, message = notify.gate(found.to_dict(), " high")
+    out = notify.outputs(found.to_dict(), "report.json")
+    row = (code, message, notify.reaches(found, "high"), notify.reaches(found, "LOW"), out["anomaly-count"], out["waste-percentage"])
+    return spark.createDataFrame([row], "code int, message string, reaches_high boolean, reaches_low boolean, anomaly_count string, waste string")
+
+
+@_add("html_cells", f"{with_report('spiked')}, cells AS (SELECT place * 10 + c AS n, [CAST(day AS VARCHAR), severity, printf('%,.2f', round(cost, 2)), printf('%,.2f', round(expected, 2)), printf('%+.1f', round(deviation, 2)), printf('%+.2f', round(zscore, 2)), {_WHAT}][c] AS cell FROM ranked_a, (SELECT unnest(range(1, 8)) AS c)) SELECT n, '<td>' || cell || '</td>' AS cell FROM cells")
+def html_cells(spark, sf_dir):
+    page = render.as_html(_report(spark, sf_dir), "A & B")
+    body = page.partition("<h2>Anomalies</h2>")[2].partition("<h2>Recommendations</h2>")[0].partition("<tbody>")[2]
+    rows = [x.split("<td>")[1:] for x in body.split("<tr>")[1:]]
+    return spark.createDataFrame([(r * 10 + c, f"<td>{x.partition('</td>')[0]}</td>") for r, row in enumerate(rows, 1) for c, x in enumerate(row, 1)], "n long, cell string")
+
+
+@_add("http_response", with_facts("spiked") + " SELECT round(mean, 2) AS averageDailyCost, round(std, 2) AS stdDeviation, round(stability, 2) AS sharpeRatio, round(waste_percentage, 2) AS wastePercentage, least(n_anomalies, 25) AS anomalies, 'anomalies,metrics,recommendations,summary' AS fields FROM facts")
+def http_response(spark, sf_dir):
+    """A request with the daily totals of each event type (30 days of 5) as CSV text."""
+    days = spiked(spark, sf_dir).items.groupBy("day", "service").agg(F.round(F.sum("cost"), 6).alias("cost")).orderBy("day", "service").collect()
+    text = io.StringIO()
+    csv.writer(text).writerows([("Date", "Service Name", "Cost"), *((r.day, r.service, repr(r.cost)) for r in days)])
+    body = answer(spark, {"companyName": "x", "csvContent": text.getvalue()})
+    m = body["metrics"]
+    row = (m["averageDailyCost"], m["stdDeviation"], m["sharpeRatio"], m["wastePercentage"], len(body["anomalies"]), ",".join(sorted(body)))
+    return spark.createDataFrame([row], "averageDailyCost double, stdDeviation double, sharpeRatio double, wastePercentage double, anomalies long, fields string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["anomalies_orders"](spark, sf_dir)

@@ -100,6 +100,13 @@ class Billing:
             F.min_by("currency", F.when(named, F.col("seq"))).alias("currency"),
         )
 
+    def by_day(self) -> DataFrame:
+        """One pass over the rows: good (parsed or not), service, day, cost, seq (the first), n (rows) and named (the first currency with its seq)."""
+        good = F.col("day").isNotNull() & F.col("cost").isNotNull()
+        named = F.when(F.col("currency").isNotNull(), F.struct("seq", "currency"))
+        rows = self.raw.select(*self.keys, good.alias("good"), F.when(good, F.col("service")).alias("service"), F.when(good, F.col("day")).alias("day"), "cost", "seq", named.alias("named"))
+        return rows.groupBy(*self.keys, "good", "service", "day").agg(F.sum("cost").alias("cost"), F.min("seq").alias("seq"), F.count("*").alias("n"), F.min("named").alias("named"))
+
     def check(self) -> Billing:
         """Raises ParseError if no row was accepted."""
         if self.items.limit(1).count() == 0:
@@ -128,19 +135,63 @@ def from_dataframe(df: DataFrame, day: str | Column, cost: str | Column, service
     return Billing(_bind(df, d, c, None if service is None else col(service), None if currency is None else col(currency), keys), keys)
 
 
-def read_billing_csv(spark: SparkSession, path: str) -> Billing:
-    """A CSV export at a path that Spark reads; quotes may hold line ends."""
-    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-    first = reader.csv(path, header=False).first()
-    if first is None:
+def _files(spark: SparkSession, path: str) -> list:
+    """The files of a path, pattern or folder, without hidden ones, in the order of their names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo, out = list(fs.globStatus(top) or []), []
+    while todo:
+        found = todo.pop()
+        if found.isDirectory():
+            todo += [x for x in fs.listStatus(found.getPath()) if x.getPath().getName()[0] not in "._"]
+        else:
+            out.append(found.getPath())
+    return sorted(out, key=lambda x: x.toString())
+
+
+def _first_line(spark: SparkSession, file) -> str | None:
+    """Read through the file system and codec that Spark itself uses."""
+    conf = spark._jsc.hadoopConfiguration()
+    raw = file.getFileSystem(conf).open(file)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+        stream = raw if codec is None else codec.createInputStream(raw)
+        return spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        raw.close()
+
+
+def _quotes_hold_line_ends(spark: SparkSession, files: list[str]) -> bool:
+    """Whether any line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return spark.read.text(files).where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def read_billing_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> Billing:
+    """CSV exports at a path, pattern or folder that Spark reads; each file's columns are bound by its own header.
+
+    Files are read in splits, unless quotes hold line ends (multiline): a pass over the lines tells, if it isn't said.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        line = (_first_line(spark, file) or "").lstrip("\ufeff")
+        if line.strip():
+            by_header.setdefault(tuple(next(csv.reader([line]))), []).append(file.toString())
+    if not by_header:
         raise ParseError("the input is empty")
-    header = [h or "" for h in first]
-    header[0] = header[0].lstrip("﻿")
-    roles = resolve_roles(header)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
-    at = lambda i: None if i is None else F.col(f"c{i}")
-    df = reader.schema(schema).csv(path, header=True, enforceSchema=True)
-    return Billing(_bind(df, parse_date(at(roles.day)), parse_cost(at(roles.cost)), at(roles.service), at(roles.currency), ())).check()
+    if multiline is None:
+        multiline = _quotes_hold_line_ends(spark, [x for files in by_header.values() for x in files])
+    reader = spark.read.option("multiLine", multiline).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    rows = None
+    for header, files in by_header.items():
+        roles = resolve_roles(list(header))
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        at = lambda i: F.lit(None).cast("string") if i is None else F.col(f"c{i}")
+        part = reader.schema(schema).csv(files, header=True, enforceSchema=True)
+        part = part.select(at(roles.day).alias("d"), at(roles.cost).alias("c"), at(roles.service).alias("s"), at(roles.currency).alias("u"))
+        rows = part if rows is None else rows.union(part)
+    return Billing(_bind(rows, parse_date(F.col("d")), parse_cost(F.col("c")), F.col("s"), F.col("u"), ())).check()
 
 
 def parse_billing_csv(spark: SparkSession, text: str) -> Billing:

@@ -70,6 +70,72 @@ def test_provider_layouts_and_errors(spark, tmp_path):
             parse_billing_csv(spark, bad)
 
 
+PROVIDERS = {
+    "gcp": ("billing_account_id,service.description,usage_start_time,cost,currency\na,Compute,2026-02-01 00:00:00 UTC,3.5,BRL\na,Compute,2026-02-02 00:00:00 UTC,4,BRL\na,,2026-02-04 00:00:00 UTC,5,BRL\n", {"Compute": 7.5, "unattributed": 5.0}, "BRL"),
+    "azure": ("UsageDateTime,MeterCategory,costCenter,CostInBillingCurrency,BillingCurrency\n2026-02-01,VM,9,\"1,5\",EUR\n2026-02-02,VM,9,2,EUR\n", {"VM": 3.5}, "EUR"),
+    "focus": ("ChargePeriodStart,ChargePeriodEnd,ServiceName,ServiceCategory,BilledCost,EffectiveCost,BillingCurrency\n2026-02-01T00:00:00Z,2026-02-02T00:00:00Z,Virtual Machines,Compute,40,1,USD\n", {"Virtual Machines": 40.0}, "USD"),
+}
+
+
+@pytest.mark.parametrize("name", PROVIDERS)
+def test_more_providers(spark, name):
+    text, want, currency = PROVIDERS[name]
+    b = parse_billing_csv(spark, text)
+    assert {r.service: r.c for r in b.items.groupBy("service").agg(F.sum("cost").alias("c")).collect()} == want
+    assert b.stats().first().currency == currency
+
+
+def test_files_are_bound_by_their_own_headers(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_text("\ufeffdate,service,cost\n2026-01-01,a,1\n2026-01-02,a,2\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.csv.gz").write_bytes(gzip.compress(b"cost,currency,date,service\n4,EUR,2026-01-02,b\n"))
+    (tmp_path / "_hidden.csv").write_text("x\n")
+    for multiline in (None, True, False):
+        b = read_billing_csv(spark, str(tmp_path), multiline)
+        assert sorted((str(r.day), r.service, r.cost) for r in b.items.collect()) == [("2026-01-01", "a", 1.0), ("2026-01-02", "a", 2.0), ("2026-01-02", "b", 4.0)]
+        assert b.stats().first().currency == "EUR"
+    (tmp_path / "c.csv").write_text("date,cost\n")
+    with pytest.raises(ParseError):
+        read_billing_csv(spark, str(tmp_path / "c.csv"))
+    with pytest.raises(ParseError, match="empty"):
+        read_billing_csv(spark, str(tmp_path / "none.csv"))
+    with pytest.raises(ParseError) as error:
+        parse_billing_csv(spark, ",".join(f"h{i}" for i in range(30)) + "\n1\n")
+    assert "h19" in str(error.value) and "h20" not in str(error.value)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from costlight.cli import main
+
+    path, page, said = tmp_path / "x.csv", tmp_path / "x.html", tmp_path / "out"
+    path.write_text(csv_of(stable(spike=30)))
+    assert main(["analyze", str(path), "--json", "--budget", "100", "--html", str(page), "--outputs", str(said)]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["anomalies"][0]["severity"] == "CRITICAL" and report["forecast"]["budget"] == 100
+    assert "<h1>Cost report" in page.read_text() and said.read_text().splitlines()[0] == "anomaly-count=1"
+    (tmp_path / "r.json").write_text(json.dumps(report))
+    assert [main(["gate", str(tmp_path / "r.json"), t]) for t in ("high", "nope")] == [1, 2]
+    capsys.readouterr()
+    assert main(["analyze", str(path), "--type", "efficiency"]) == 0
+    text = capsys.readouterr().out
+    assert "Anomalies" in text and "CRITICAL" in text and "Recommendations" not in text
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    assert main(["analyze", str(tmp_path / "bad.csv")]) == 2 and "error:" in capsys.readouterr().err
+    for bad in (["analyze", "x", "--type", "other"], ["analyze", "x", "--webhook-min-severity", "WORST"]):
+        with pytest.raises(SystemExit):
+            main(bad)
+
+
+def test_sql_functions(spark):
+    from costlight.functions import register_sql_functions
+
+    register_sql_functions(spark)
+    r = spark.sql("SELECT cost_severity(11, 0) a, severity_rank(' high ') b, (SELECT max(day) FROM horizon_days(DATE'2026-01-01', 3)) c, parse_cost('1.234,56') d, parse_date('03/04/2026') e, parse_cost('x') f").first()
+    assert (r.a, r.b, str(r.c), r.d, str(r.e), r.f) == ("CRITICAL", 2, "2026-01-04", 1234.56, "2026-04-03", None)
+
+
 def test_grammar(spark):
     dates = {
         "03/04/2026": "2026-04-03", "01/13/2026": "2026-01-13", "03/04/2026 00:00:00": "2026-03-04", "13/04/2026 00:00:00": "2026-04-13", "03/04/2026 00:00:00 UTC": "2026-04-03",
