@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, exact_dedup, kd_shards, minhash, pieces, pii, store, substring_dedup, suffix_dedup, toxicity
@@ -26,7 +28,9 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_table(spark, sf_dir, "documents"))
+    """The key is spark.costlight.pii.key; where that is unset, a new one that nobody keeps."""
+    key = spark.conf.get("spark.costlight.pii.key", None)
+    return pii.checked(_table(spark, sf_dir, "documents"), key.encode() if key else os.urandom(32))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
