@@ -61,6 +61,12 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def write_by(df: DataFrame, column: str, path: str) -> None:
+    """Writes a folder for each value of a column; tasks hold whole values in order, so files are written one after the other."""
+    with _cleanup(df.sparkSession), settings(df.sparkSession, spark__sql__maxConcurrentOutputFileWriters="16"):
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+
+
 class Scratch:
     """Tables of one job, dropped together when nothing reads them any more."""
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from costlight.llm import chat, decontam, exact_dedup, kd_shards, minhash, pieces, pii, toxicity
 from costlight.llm import vectext as V
@@ -230,16 +231,39 @@ def test_exact_dedup(spark):
     assert exact_dedup.keep_last_copies(again).count() == 2
 
 
-def test_extendible_hash_chains_splits_and_later_batches(spark):
+def test_extendible_hash_chains_splits_and_later_batches(spark, monkeypatch):
     batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()])], names=list("abcde"))
     out = [r for b in exact_dedup._own(iter([batch([(0, 5, 1, 1, "x"), (0, 5, 9, 1, "y")]), batch([(0, 5, 3, 2, "x"), (0, 6, 4, 1, "z")])])) for r in b.to_pylist()]
     assert [(r["h"], r["chain"], r["keep_rid"], r["size"], r["norm"]) for r in out] == [(5, 0, 3, 3, "x"), (5, 1, 9, 1, "y"), (6, 0, 4, 1, "z")]
-    d = exact_dedup.Directory({0: 10, 1: 10, 2048: 5}, 12)
-    assert d.depth == 12 and len(d.slots) == 4096 and len({d.slots[0], d.slots[1], d.slots[2048]}) == 3
-    index = exact_dedup.ExtendibleIndex(spark, 50)
-    for rows in ([(1, "a", 1), (2, "b", 1)], [(3, "A", 1), (4, "c", 1)]):
-        index.insert(exact_dedup._keyed(spark.createDataFrame(rows, "rid long, text string, n int")).select("rid", "h", "norm"))
-    assert sorted((r.keep_rid, r.size) for r in index.groups.collect()) == [(2, 1), (3, 2), (4, 1)]
+    d = exact_dedup.Directory()
+    assert d.grow({0: 10, 1: 10, 2048: 5}, 12, 12) == [0]
+    assert d.depth == 12 and len(d.slots()) == 4096 and len({d.slots()[0], d.slots()[1], d.slots()[2048]}) == 3
+    before = dict(d.buckets)
+    (split,) = d.grow({0: 10, 1: 10, 2048: 5, 2049: 9}, 12, 12)  # only the overfull bucket splits
+    assert before[split] == (1, 1) and set(before.items()) - set(d.buckets.items()) == {(split, (1, 1))}
+    assert d.grow({0: 10, 1: 10, 2048: 50, 2049: 9}, 12, 12) == []  # a single prefix can't
+    for inline in (10, 0):
+        monkeypatch.setattr(exact_dedup, "INLINE_DEPTH", inline)
+        index = exact_dedup.ExtendibleIndex(spark, 200)
+        rows = [(k, f"text {k % 37}", 1) for k in range(60)]
+        files = []
+        for part in (rows[:2], rows[2:30], rows[30:], [(60, "TEXT 5", 1)]):
+            index.insert(exact_dedup._keyed(spark.createDataFrame(part, "rid long, text string, n int")).select("rid", "h", "norm"))
+            files.append(set(index.paths.values()))
+        assert len(index.directory.buckets) > 8 and len(files[-1] - files[-2]) == 1 and len(files[-1]) == len(files[-2])
+        want = {t: (max([k for k in range(60) if k % 37 == t] + [60] * (t == 5)), sum(k % 37 == t for k in range(60)) + (t == 5)) for t in range(37)}
+        assert sorted((r.keep_rid, r.size) for r in index.groups.collect()) == sorted(want.values())
+
+
+def test_exact_dedup_of_texts_that_share_a_hash(spark, monkeypatch):
+    real = exact_dedup._keyed
+    monkeypatch.setattr(exact_dedup, "_keyed", lambda texts: real(texts).withColumn("h", F.length("norm").cast("long") % 3))
+    rows = [(k, "x" * (k % 4) + "AbC"[k % 3], 1) for k in range(40)] + [(50, None, 1)]
+    want = {}
+    for k, t, _ in rows:
+        want.setdefault((t or "").lower(), []).append(k)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS).repartition(3), capacity=100).collect()}
+    assert got == {k: (max(v), len(v), hashlib.sha256(t.encode()).hexdigest()) for t, v in want.items() for k in v}
 
 
 def test_shards(spark):
