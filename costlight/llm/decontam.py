@@ -3,8 +3,8 @@
 Words are letters, digits and non-ASCII characters after lower-casing A-Z. The windows of the
 benchmark (10 words; a shorter item is one window) go to every task as sorted hashes. Documents
 are scanned window by window: a bit table drops most, a binary search finds the rest, and each
-hit is verified word by word. The benchmark is broadcast in slices of a checked size; each slice
-is one pass, so a benchmark of any size works.
+hit is verified word by word. The benchmark is read and broadcast in slices of a checked size, one at a time; each slice
+is one pass, so a benchmark of any size works. Contaminated documents, or just the spans that are hit, can be removed.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from . import vectext as V
 
 U64 = np.uint64
 BITS = 20
-#: Most bytes of benchmark text in one broadcast slice.
-SLICE_BYTES = 16 << 20
+#: Most bytes of benchmark text in one broadcast slice; the set of its windows takes some twenty times as much.
+SLICE_BYTES = 4 << 20
 
 
 def _item_words(text: str | None) -> list[bytes]:
@@ -165,13 +165,81 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = 10, id_colu
     return texts.select("rid", "id").join(whole, "rid").select("id", "n_words", "pos", "size", "items").mapInArrow(_digest, schema).withColumnRenamed("id", id_column)
 
 
-def remove_contaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text") -> DataFrame:
-    """The rows in which no window occurs, all columns as they were; one pass, no shuffle."""
-    grams = list(_slices(benchmark, "item_id", "text", SLICE_BYTES))
-    out = df
-    for part in grams:
-        out = out.mapInArrow(_drop_rows(NgramSet(part, window), df.columns.index(text_column)), df.schema)
-    return out
+def _one_by_one(df: DataFrame, slices: Iterator[list], step) -> DataFrame:
+    """step(df, slice) for each slice; from the second on, what the last one left is written first, so one slice is held at a time."""
+    for k, part in enumerate(slices):
+        df = step(df if not k else store.write(df, "clean")[0], part)
+    return df
+
+
+def remove_contaminated(df: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows in which no window occurs, all columns as they were; one pass a slice, no shuffle.
+
+    Null and empty texts stay; repeated rows are treated alike; an empty benchmark removes nothing.
+    """
+    at, schema = df.columns.index(text_column), df.schema
+    return _one_by_one(df, _slices(benchmark, item_column, item_text_column, slice_bytes), lambda x, part: x.mapInArrow(_drop_rows(NgramSet(part, window), at), schema))
+
+
+def remove_spans(df: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """All rows and columns; of each text, what lies from the first to the last word of each run of hit words is gone.
+
+    Spans are judged on the given texts, also where the benchmark takes several slices. Null texts stay null, other columns
+    as they were; repeated rows are treated alike.
+    """
+    own = "_spans"
+    while own in df.columns:
+        own += "_"
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.select(*columns, F.array().cast("array<struct<start:int,end:int>>").alias(own))
+    at, schema = df.columns.index(text_column), marked.schema
+    marked = _one_by_one(marked, _slices(benchmark, item_column, item_text_column, slice_bytes), lambda x, part: x.mapInArrow(_mark_spans(NgramSet(part, window), at), schema))
+    kind = df.schema[text_column].dataType.simpleString()
+    return marked.mapInArrow(_cut_spans(at), df.schema) if kind == "string" else marked.drop(own)
+
+
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+
+def _mark_spans(grams: NgramSet, at: int):
+    """Adds the byte ranges of the hits to the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = V.flat(batch.column(at))
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            for i, j in V.chunks(off):
+                part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                _, hits, _ = grams.scan(part, o)
+                if hits:
+                    start, end, woff = V.words(V.LOWER[part], o, V.ALNUM)
+                    for d, p, size in hits:
+                        first = int(woff[d]) + p
+                        spans[i + d].append({"start": int(start[first] - o[d]), "end": int(end[first + size - 1] - o[d])})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, pa.list_(_SPAN))], names=batch.schema.names)
+
+    return run
+
+
+def _cut_spans(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for k, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if spans:
+                    raw, out, reach = texts[k].encode(), [], 0
+                    for s in sorted(spans, key=lambda x: x["start"]):
+                        if s["start"] > reach:
+                            between = raw[reach : s["start"]]
+                            # Runs of hit words that touch are one: what lies between them goes too.
+                            out.append(between if not out or V.ALNUM[V.LOWER[np.frombuffer(between, np.uint8)]].any() else b"")
+                        reach = max(reach, s["end"])
+                    texts[k] = b"".join([*out, raw[reach:]]).decode()
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return run
 
 
 def _drop_rows(grams: NgramSet, at: int):

@@ -5,9 +5,11 @@ sigmoid(w.x - theta_k) with theta increasing, and the result is the expected gra
 hashed words and word beginnings (log of their count) chosen by the z-value of their log odds, and
 their rate.
 
-Where labels only say toxic or not, grades 1..GRADES-1 are given to the toxic ones by how
-dense the chosen words are in them. The fit uses at most MAX_LABELLED labelled rows, those with the
-smallest hashes of their ids; scoring reads every document whole.
+Where labels only say toxic or not, grades 1..GRADES-1 are given to the toxic ones by how dense toxic
+words are in them; the words for one half of the labelled rows are chosen on the other half, so a grade isn't made of the
+features that are fitted to it. The fit uses at most MAX_LABELLED labelled rows, those with the
+smallest hashes of their ids; in how many of them each feature stands is counted by Spark, and only the counts of
+chosen features come to the driver. Scoring reads every document whole.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from . import vectext as V
 
 U64 = np.uint64
 BITS = 18
-MAX_LABELLED = 8_000
+MAX_LABELLED = 20_000
 MAX_FEATURES = 512
 MIN_Z = 4.0
 GRADES = 4
@@ -109,49 +112,13 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-3,
     return p[:k], np.cumsum(np.concatenate([p[k : k + 1], np.exp(p[k + 1 :])]))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]], grade: list[int], graded: bool, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """rows: features, their counts, words and key of each labelled document; grade: its label.
-
-    Without labels of both kinds, the model says grade 0 for all (or 1 for all, if all are toxic).
-    """
-    y = np.array(grade, np.int64)
-    size = 1 << BITS
-    bad = y > 0
-    n1, n0 = int(bad.sum()), int((~bad).sum())
-    if not n1 or not n0:
-        return OrdinalModel(np.full(size, -1, np.int32), np.zeros(1), np.full(1, 40.0 if not n1 else -40.0), np.zeros(0))
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    feature = np.concatenate([r[0] for r in rows])
-    count = np.concatenate([r[1] for r in rows])
-    # Near copies (rows with one key and label) count once in the choice of features.
-    _, one = np.unique(np.array([r[3] for r in rows], np.int64) ^ bad, return_index=True)
-    apart = np.zeros(len(rows), bool)
-    apart[one] = True
-    n1, n0 = int((bad & apart).sum()), int((~bad & apart).sum())
-    c1, c0 = np.bincount(feature[(bad & apart)[doc]], minlength=size), np.bincount(feature[(~bad & apart)[doc]], minlength=size)
+def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, most: int) -> np.ndarray:
+    """Features by the z-value of their log odds, from the numbers of toxic and other documents that hold each."""
     odds = np.log((c1 + 0.5) / (n1 - c1 + 0.5)) - np.log((c0 + 0.5) / (n0 - c0 + 0.5))
     z = odds / np.sqrt(1 / (c1 + 0.5) + 1 / (n1 - c1 + 0.5) + 1 / (c0 + 0.5) + 1 / (n0 - c0 + 0.5))
     z[odds < MIN_ODDS] = 0
-    least = MIN_Z if n1 >= 100 else 2.0
-    chosen = np.argsort(-z, kind="stable")[:max_features]
-    chosen = chosen[z[chosen] >= least]
-    slots = np.full(size, -1, np.int32)
-    slots[chosen] = np.arange(len(chosen))
-    positive = np.ones(len(chosen))
-    words = np.array([max(1, r[2]) for r in rows], np.float64)
-    slot = slots[feature]
-    at = slot >= 0
-    x = np.zeros((len(rows), len(chosen) + 1))
-    x[doc[at], slot[at]] = np.log1p(count[at])
-    rate = np.bincount(doc[at], count[at], minlength=len(rows)) / words
-    x[:, -1] = np.log1p(100 * rate)
-    if not graded:
-        toxic_rates = rate[bad]
-        cuts = np.quantile(toxic_rates, [g / (GRADES - 1) for g in range(1, GRADES - 1)])
-        y = np.where(bad, 1 + np.searchsorted(cuts, rate, "right"), 0)
-    grades = int(y.max()) + 1
-    weights, thetas = fit_ordinal(x, y, grades)
-    return OrdinalModel(slots, weights, thetas, positive)
+    chosen = np.argsort(-z, kind="stable")[:most]
+    return chosen[z[chosen] >= (MIN_Z if n1 >= 100 else 2.0)]
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,17 +137,95 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(feats, pa.binary()), pa.array(counts, pa.binary()), pa.array(words, pa.int64()), pa.array(keys, pa.int64())], names=["grade", "f", "c", "words", "key"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", graded: bool = False) -> OrdinalModel:
+def _in_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's documents (kind, f) of each kind hold each feature; feature -1: how many there are."""
+    for batch in batches:
+        kind = batch.column(0).to_numpy()
+        data, off = V.flat(batch.column(1))
+        f = data.view(np.int32) if len(data) else np.zeros(0, np.int32)
+        k = np.repeat(kind, np.diff(off) // 4).astype(np.int64)
+        both = np.concatenate([k << 32 | f, kind.astype(np.int64) << 32 | ((1 << 32) - 1)])
+        key, n = np.unique(both, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array((key >> 32).astype(np.int32)), pa.array((key & ((1 << 32) - 1)).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64))], names=["kind", "feature", "n"])
+
+
+def _only(slots: np.ndarray):
+    """Of each document, the slots and counts of chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, counts = [], []
+            for f, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = slots[np.frombuffer(f, np.int32)]
+                found.append(own[own >= 0].astype(np.int32).tobytes())
+                counts.append(np.frombuffer(c, np.int32)[own >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(counts, pa.binary()), batch.column(3), batch.column(4)], names=["grade", "f", "c", "words", "half"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", graded: bool = False, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fits on the labelled rows with the smallest id hashes, at most max_labelled of them.
 
-    Null labels and ids are left out; of repeated labels of an id the highest counts.
+    Null labels and ids are left out; of repeated labels of an id the highest counts; repeated ids of docs each count. Very
+    long texts are read whole. Without labels of both kinds, the model says grade 0 for all (or 1 for all, if all are toxic).
     """
     sample = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("label_id")).agg(F.max(F.col(label_column).cast("int")).alias("grade")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     # Bounded by max_labelled rows of 12 bytes.
     known = docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).join(F.broadcast(sample), F.col(id_column) == F.col("label_id")).select("text", "grade")
-    got = known.mapInArrow(_collect, "grade int, f binary, c binary, words long, key long").toArrow()
-    rows = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), w, k) for f, c, w, k in zip(*(got[c].to_pylist() for c in ("f", "c", "words", "key")), strict=True)]
-    return train(rows, got["grade"].to_pylist(), graded)
+    rows, path = store.write(known.mapInArrow(_collect, "grade int, f binary, c binary, words long, key long"), "labelled")
+    half = F.pmod(F.xxhash64("key"), F.lit(2)).cast("int")
+    kind = (F.col("grade") > 0).cast("int") * 2 + half
+    # Near copies (rows with one key and label) count once in the choice of features: the first by their features.
+    once = rows.groupBy("key", kind.alias("kind")).agg(F.min_by("f", F.xxhash64("f", "c")).alias("f")).select("kind", "f")
+    counts = np.zeros((4, 1 << BITS))
+    total = np.zeros(4, np.int64)
+    got = once.mapInArrow(_in_documents, "kind int, feature int, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).toArrow()  # at most 4 x 2**BITS rows
+    which, feature, n = (got[c].to_numpy() for c in ("kind", "feature", "n"))
+    total[which[feature < 0]] = n[feature < 0]
+    counts[which[feature >= 0], feature[feature >= 0]] = n[feature >= 0]
+    size = 1 << BITS
+    toxic, clean = total[2:].sum(), total[:2].sum()
+    if not toxic or not clean:
+        store.drop(docs.sparkSession, path)
+        return OrdinalModel(np.full(size, -1, np.int32), np.zeros(1), np.full(1, 40.0 if not toxic else -40.0), np.zeros(0))
+    chosen = choose(counts[2] + counts[3], counts[0] + counts[1], toxic, clean, max_features)
+    # Words for the grades of one half come from the other.
+    cross = [choose(counts[3 - h], counts[1 - h], total[3 - h], total[1 - h], max_features) if total[3 - h] and total[1 - h] else chosen for h in (0, 1)]
+    every = np.unique(np.concatenate([chosen, *cross]))
+    slots = np.full(size, -1, np.int32)
+    slots[every] = np.arange(len(every))
+    part = rows.select("grade", "f", "c", "words", half.alias("half")).mapInArrow(_only(slots), "grade int, f binary, c binary, words long, half int").toArrow()
+    store.drop(docs.sparkSession, path)
+    found = [np.frombuffer(x, np.int32) for x in part["f"].to_pylist()]
+    doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    slot, count = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (found, [np.frombuffer(x, np.int32) for x in part["c"].to_pylist()]))
+    grade, words, side = part["grade"].to_numpy().astype(np.int64), np.maximum(part["words"].to_numpy(), 1), part["half"].to_numpy()
+    return train(doc, every[slot], count, words, grade, side, chosen, cross, graded)
+
+
+def _rate(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Chosen features to a word, by document."""
+    at = np.isin(feature, chosen)
+    return np.bincount(doc[at], count[at], minlength=len(words)) / words
+
+
+def train(doc: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarray, grade: np.ndarray, side: np.ndarray, chosen: np.ndarray, cross: list[np.ndarray], graded: bool) -> OrdinalModel:
+    """From how often (count) each document (doc) holds each feature, and the documents' words, grades and halves."""
+    slots = np.full(1 << BITS, -1, np.int32)
+    slots[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(words), len(chosen) + 1), np.float32)
+    at = slots[feature] >= 0
+    x[doc[at], slots[feature[at]]] = np.log1p(count[at])
+    x[:, -1] = np.log1p(100 * _rate(doc, feature, count, words, chosen))
+    y = grade
+    if not graded:
+        rate = np.where(side == 0, _rate(doc, feature, count, words, cross[0]), _rate(doc, feature, count, words, cross[1]))
+        bad = grade > 0
+        cuts = np.quantile(rate[bad], [g / (GRADES - 1) for g in range(1, GRADES - 1)])
+        y = np.where(bad, 1 + np.searchsorted(cuts, rate, "right"), 0)
+    weights, thetas = fit_ordinal(x, y, int(y.max()) + 1)
+    return OrdinalModel(slots, weights, thetas, np.ones(len(chosen)))
 
 
 def _score_batch(model: OrdinalModel, column: pa.Array) -> np.ndarray:
@@ -195,7 +240,8 @@ def _score_batch(model: OrdinalModel, column: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id_column, expected_severity, severity (most likely grade), p_toxic, toxic (p_toxic >= 0.5).
 
-    Null and empty texts have no features and get the model's base rate.
+    Null and empty texts have no features and get the model's base rate; repeated rows are treated alike; an empty
+    table gives an empty result; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -303,6 +303,39 @@ def test_toxicity(spark):
     assert {x.toxic for x in toxicity.score(docs, nothing).collect()} == {False}
 
 
+def test_the_fit_is_at_the_least_of_its_loss():
+    """Against a plain descent with numerical gradients, on a small set."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(120, 3))
+    y = np.searchsorted([-1.0, 0.5, 1.5], x @ np.array([1.0, -2.0, 0.5]) + r.logistic(size=120))
+    ridge = 1e-2
+
+    def loss(p):
+        theta = np.cumsum(np.concatenate([p[3:4], np.exp(p[4:])]))
+        above = 1 / (1 + np.exp(-np.clip((x @ p[:3])[:, None] - theta[None, :], -40, 40)))
+        full = np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], 1)
+        return -np.log(full[np.arange(len(x)), y] - full[np.arange(len(x)), y + 1]).mean() + ridge / 2 * (p[:3] ** 2).sum()
+
+    p, step = np.array([0.0, 0, 0, -1, 0, 0]), 0.5
+    for _ in range(4000):
+        g = np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(6) * 1e-5])
+        p = p - step * g
+    weights, thetas = toxicity.fit_ordinal(x, y, 4, ridge, 2000)
+    assert np.allclose(weights, p[:3], atol=0.02) and np.allclose(thetas, np.cumsum(np.concatenate([p[3:4], np.exp(p[4:])])), atol=0.02)
+
+
+def test_spans_are_removed(spark):
+    item = [f"b{i}" for i in range(14)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "Short item"), (3, "y z")], "no long, body string")
+    rows = [(1, "x " + ", ".join(item[:11]) + "! é y", 1), (2, "a short ITEM; short item. b", 1), (3, None, 1), (4, "", 1), (5, "short y z item", 2), (5, "short y z item", 2)]
+    df = spark.createDataFrame(rows, "id long, words string, _spans int")
+    for most in (1 << 20, 1):
+        out = decontam.remove_spans(df, bench, 10, "words", "no", "body", most)
+        assert out.columns == df.columns
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "x ! é y", 1), (2, "a . b", 1), (3, None, 1), (4, "", 1), (5, "short  item", 2), (5, "short  item", 2)], key=str)
+        assert decontam.remove_contaminated(df, bench, 10, "words", "no", "body", most).count() == 2
+
+
 def test_decontamination_slices_and_edges(spark):
     bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(14))), (2, "Short item"), (3, None), (4, "!!")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + " ".join(f"B{i}," for i in range(11)) + " y", 1), (2, "a short ITEM; b", 1), (3, None, 1), (4, "short", 1), (4, "short item", 2)], DOCS)
