@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from test_operators import brute_near, slow_viterbi
+from test_operators import brute_near, slow_merging
 
 import corpus_pipeline
 from costlight.llm import pieces
@@ -66,4 +66,4 @@ def test_pipeline_matches_a_plain_programme(spark, tmp_path):
     p = pieces.load()
     for x in rows:
         if x.doc_id < 100 and want[x.doc_id]:
-            assert x.ids == slow_viterbi(p, want[x.doc_id])
+            assert x.ids == slow_merging(p, want[x.doc_id])
