@@ -44,7 +44,7 @@ PIECE = 1 << 20
 ENTRY, REFINE, MARK, HOT = 1, 2, 4, 8
 LEVEL, MERGING, NEW, LOCAL = -2, -1, 0, 1
 #: More different blocks of one key are refined by a shuffle, not in one task (about 150 bytes each).
-HOT_BLOCKS = 20_000
+HOT_BLOCKS = 50_000
 KEY = ["k0", "k1"]
 ROWS = "k0 long, k1 long, d0 long, d1 long, doc long, pos int, n int, src byte"
 NAMES = ["k0", "k1", "d0", "d1", "doc", "pos", "n", "src"]
@@ -213,10 +213,11 @@ def _anchors(spec: Windows, seed: bytes):
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool, bool]]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int, squeeze: Callable | None = None) -> Iterator[tuple[pa.Table, bool, bool]]:
     """Joins ordered batches so that a group of (k0, k1) is cut only after so many rows.
 
     Gives each table and whether its first group went on from the table before, its last group goes on in the next.
+    squeeze takes what it can out of a long group (and deals with it), so that only the rest counts.
     """
     held: list[pa.RecordBatch] = []
     rows, last, begun = 0, None, False
@@ -238,6 +239,9 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tupl
         held.append(batch.slice(cut))
         rows += batch.num_rows - cut
         last = (k0[-1], k1[-1])
+        if rows > most and squeeze is not None:
+            held = squeeze(pa.Table.from_batches(held), begun).to_batches()
+            rows = sum(x.num_rows for x in held)
         if rows > most:
             yield pa.Table.from_batches(held), begun, True
             held, rows, begun = [], 0, True
@@ -250,7 +254,22 @@ def _scan(spec: Windows, hot_blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried, head_doc = None, -1  # the last block of the table before, and the document in which it came first
-        for table, begun, open_ in _whole_groups(batches, hot_blocks):
+        copies: list[pa.RecordBatch] = []
+
+        def squeeze(table: pa.Table, begun: bool) -> pa.Table:
+            """Marks copies of a block that the table holds too, and leaves the different blocks."""
+            if begun:
+                return table
+            columns = [table.column(c).to_numpy() for c in NAMES]
+            k0, k1, d0, d1, doc, _, _, src = columns
+            first = _first_of(k0, k1, d0, d1)
+            again = (~first if spec.within else ~first & (doc != doc[first][np.cumsum(first) - 1])) & (src == NEW)
+            copies.extend(_emit((*(x[again] for x in columns), np.full(int(again.sum()), MARK, np.int8)), [*NAMES, "flags"]))
+            return table.filter(pa.array(~again)).combine_chunks()
+
+        for table, begun, open_ in _whole_groups(batches, hot_blocks, squeeze):
+            yield from copies
+            copies.clear()
             k0, k1, d0, d1, doc, pos, n, src = (table.column(c).to_numpy() for c in NAMES)
             first = _first_of(k0, k1, d0, d1)
             if begun and carried == (k0[0], k1[0], d0[0], d1[0]):
@@ -271,6 +290,7 @@ def _scan(spec: Windows, hot_blocks: int):
             flags[np.repeat(hot, size) & (flags & REFINE != 0)] |= HOT
             out = np.flatnonzero(flags)
             yield from _emit(tuple(x[out] for x in (k0, k1, d0, d1, doc, pos, n, src, flags)), [*NAMES, "flags"])
+        yield from copies
 
     return run
 
@@ -330,9 +350,8 @@ def _window_rows(spec: Windows):
                 t, values, row, p, h = _windows_of(spec, block, out)
                 second = V.Rolling(V.mix(values ^ U64(0x5851F42D4C957F2D))).grams(spec.width)[p]
                 at = pos[row] + p - t.off[row]
-                order = np.lexsort((at, doc[row]))  # a window that several blocks of a document hold is one row
-                order = order[_first_of(doc[row][order], at[order])]
-                yield from _emit(tuple(x[order] for x in (h.view(np.int64), second.view(np.int64), doc[row], at.astype(np.int32))), ["w0", "w1", "doc", "pos"])
+                # A place in a document lies in one block only, so no row comes twice.
+                yield from _emit((h.view(np.int64), second.view(np.int64), doc[row], at.astype(np.int32)), ["w0", "w1", "doc", "pos"])
 
     return run
 
@@ -478,7 +497,6 @@ class RunIndex:
         refine = found.where(flagged(REFINE))
         if found.where(flagged(HOT)).limit(1).count():
             windows, path = store.write(fetch(refine.join(hot_keys, KEY, "left_semi")).mapInArrow(_window_rows(self.spec), "w0 long, w1 long, doc long, pos int"), "windows")
-            windows = windows.distinct()
             low = windows.groupBy("w0", "w1").agg(F.min(F.struct("doc", "pos")).alias("low"), F.count("*").alias("many")).where("many > 1")
             later = windows.join(low, ["w0", "w1"]).where("doc > low.doc" + (" OR doc = low.doc AND pos > low.pos" if self.spec.within else ""))
             out = out.union(later.select("doc", "pos", F.lit(1).alias("n")))
