@@ -42,7 +42,7 @@ def _points(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw.cast("binary")).alias("crc"),
         F.xxhash64(raw).alias("h"),
-        F.xxhash64(raw, F.lit("second")).alias("h2"),
+        F.xxhash64(F.lit("second"), raw).alias("h2"),
         F.coalesce(order, F.lit(-1.0)).alias("d_id"),
         code("lang").alias("d_lang"),
         code("source").alias("d_source"),
@@ -50,34 +50,34 @@ def _points(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
-class _Node:
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high  # shards [low, high)
+def _each(values: list, kind: str = "double") -> Column:
+    """The value of each row's node, from a list in the order of nodes: a constant array, so that plans don't grow with the tree."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), F.col("node") + 1)
 
 
-def _cut_points(light: DataFrame, wanted: dict[int, tuple[str, float]]) -> dict[int, float]:
+def _key(wanted: dict[int, tuple[str, float]], count: int) -> tuple[Column, Column]:
+    """Whether a row's node is to be split, and the row's key along its node's dimension."""
+    dim = _each([DIMS.index(wanted[n][0]) if n in wanted else -1 for n in range(count)], "int")
+    return dim >= 0, F.element_at(F.array(*(F.col(f"k_{d}") for d in DIMS)), F.greatest(dim, F.lit(0)) + 1)
+
+
+def _cut_points(light: DataFrame, wanted: dict[int, tuple[str, float]], count: int) -> dict[int, float]:
     """For each node the value of its dimension's key at which its weight reaches the wanted share.
 
-    wanted: node to (dimension, weight of the left side). Key: the scaled dimension with a hash of the
+    wanted: node to (dimension, weight of the left side); nodes have numbers under count. Key: the scaled dimension with a hash of the
     group as its last digits, so that ties split too.
     """
-    key = None
-    for node, (dim, _) in wanted.items():
-        key = (F.when(F.col("node") == node, F.col(f"k_{dim}")) if key is None else key.when(F.col("node") == node, F.col(f"k_{dim}")))
-    rows = light.where(F.col("node").isin(*wanted)).select("node", "w", key.alias("k"))
+    open_, key = _key(wanted, count)
+    rows = light.where(open_).select("node", "w", key.alias("k"))
     span = {r.node: (r.a, r.b) for r in rows.groupBy("node").agg(F.min("k").alias("a"), F.max("k").alias("b")).collect()}
     low = {n: span[n][0] for n in wanted if n in span}
     wide = {n: max(math.nextafter(span[n][1], math.inf) - span[n][0], 1e-300) for n in low}
     before = dict.fromkeys(low, 0.0)
     for _ in range(ROUNDS):
-        cases_low = cases_wide = None
-        for n in low:
-            at = F.col("node") == n
-            cases_low = F.when(at, F.lit(low[n])) if cases_low is None else cases_low.when(at, F.lit(low[n]))
-            cases_wide = F.when(at, F.lit(wide[n])) if cases_wide is None else cases_wide.when(at, F.lit(wide[n]))
-        if cases_low is None:
+        if not low:
             break
-        binned = rows.withColumn("bin", F.floor((F.col("k") - cases_low) / cases_wide * BINS))
+        first, width = _each([low.get(n, 0.0) for n in range(count)]), _each([wide.get(n, 1.0) for n in range(count)])
+        binned = rows.withColumn("bin", F.floor((F.col("k") - first) / width * BINS))
         found: dict[int, dict[int, float]] = {}
         for r in binned.where(f"bin >= 0 and bin < {BINS}").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect():
             found.setdefault(r.node, {})[r.bin] = float(r.w)
@@ -129,12 +129,12 @@ def kd_shards(df: DataFrame, shards: int = 8, id_column: str = "doc_id", text_co
         step = 1.0 if d != "id" else max(1.0, (b - a) / 1e9)
         scaled.append((((F.col(f"d_{d}") - a) + jitter * step) / (b - a + step)).alias(f"k_{d}"))
     light = groups.join(F.broadcast(heavy.select("h", "h2")), ["h", "h2"], "left_anti").select("h", "h2", "w", F.lit(0).alias("node"), *scaled)
-    light, _ = store.write(light, "light")
+    light, path = store.write(light, "light")
     room = [max(target - x, 0.0) for x in load]
     nodes = {0: (0, shards)}
     while any(b - a > 1 for a, b in nodes.values()):
         split = {n: v for n, v in nodes.items() if v[1] - v[0] > 1}
-        stats = {r.node: r for r in light.where(F.col("node").isin(*split)).groupBy("node").agg(F.sum("w").alias("w"), *((F.max(f"k_{d}") - F.min(f"k_{d}")).alias(d) for d in DIMS)).collect()}
+        stats = {r.node: r for r in light.where(_each([int(n in split) for n in range(len(nodes))], "int") == 1).groupBy("node").agg(F.sum("w").alias("w"), *((F.max(f"k_{d}") - F.min(f"k_{d}")).alias(d) for d in DIMS)).collect()}
         wanted = {}
         for n, (a, b) in split.items():
             if n not in stats:
@@ -142,21 +142,23 @@ def kd_shards(df: DataFrame, shards: int = 8, id_column: str = "doc_id", text_co
             mid = (a + b) // 2
             share = sum(room[a:mid]) / (sum(room[a:b]) or 1.0)
             wanted[n] = (max(DIMS, key=lambda d: stats[n][d]), float(stats[n].w) * share)
-        cuts = _cut_points(light, wanted) if wanted else {}
-        moved = F.col("node")
+        cuts = _cut_points(light, wanted, len(nodes)) if wanted else {}
         after = {n: v for n, v in nodes.items() if n not in split}
-        top = max(nodes) + 1
+        right = dict(zip(split, range(len(nodes), len(nodes) + len(split)), strict=True))
         for n, (a, b) in split.items():
             mid = (a + b) // 2
-            if n in cuts:
-                moved = F.when((F.col("node") == n) & (F.col(f"k_{wanted[n][0]}") >= F.lit(cuts[n])), F.lit(top)).otherwise(moved)
-            after[n], after[top] = (a, mid), (mid, b)
-            top += 1
-        nodes = after
-        light = light.withColumn("node", moved)
-    shard = F.create_map(*(F.lit(x) for n, (a, _) in sorted(nodes.items()) for x in (n, a)))[F.col("node")]
-    placed = light.select("h", "h2", F.array(shard.cast("int")).alias("own")).union(heavy)
+            after[n], after[right[n]] = (a, mid), (mid, b)
+        _, key = _key(wanted, len(nodes))
+        to = _each([right[n] if n in cuts else -1 for n in range(len(nodes))], "int")
+        moved = F.when((to >= 0) & (key >= _each([cuts.get(n, 0.0) for n in range(len(nodes))])), to).otherwise(F.col("node"))
+        # Each level is written, so that neither plans nor recomputation grow with the depth.
+        last, nodes = path, after
+        light, path = store.write(light.withColumn("node", moved), "light")
+        store.drop(spark, last)
+    shard = _each([nodes[n][0] for n in range(len(nodes))], "int")
+    placed = light.select("h", "h2", F.array(shard).alias("own")).union(heavy)
     placed, _ = store.write(placed, "placed")
+    store.drop(spark, path)
     chosen = rows.join(placed, ["h", "h2"])
     one = F.element_at("own", (F.pmod(F.xxhash64("id"), F.size("own")) + 1).cast("int"))
     # Slots: rows are numbered in chunks by a hash of the id, after the counts of the chunks before.
