@@ -65,6 +65,22 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_suffix_array_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(octet_length(h) AS BIGINT) AS n_bytes FROM d),
+win AS (SELECT doc_id, p, md5(h[p + 1:p + 100]) AS k FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 99)) AS p FROM n WHERE n_bytes >= 100)),
+firsts AS (SELECT k, min(doc_id) AS doc_id FROM win GROUP BY k HAVING count(*) > 1),
+firstp AS (SELECT k, win.doc_id, min(p) AS p FROM win JOIN firsts USING (k, doc_id) GROUP BY ALL),
+marks AS (SELECT win.doc_id, win.p FROM win JOIN firstp f USING (k) WHERE win.doc_id > f.doc_id OR win.p > f.p),
+edges AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM marks),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS i FROM edges) GROUP BY doc_id, i),
+cuts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs),
+kept AS (SELECT c.doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS last, string_agg(hex(h[b + 1:s]), '' ORDER BY s) AS body FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT n.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(body, '') || hex(h[coalesce(last, 0) + 1:n_bytes]))) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES["op2_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS p, w FROM d WHERE len(w) >= 13),
