@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, SparkSession
@@ -106,6 +107,25 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == "CRITICAL", 3).when(c == "HIGH", 2).when(c == "MEDIUM", 1).otherwise(0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The number with so many decimals, by the rule of SQL engines: scaled as a double, halves away from zero.
+
+    F.round() and Python's round() look at the decimal and at the binary value of the unscaled number,
+    so they differ from it, and from each other, on half cents.
+    """
+    scale = 10.0**digits
+    return F.when(F.abs(c * scale) < float("inf"), F.round(c * scale) / scale).otherwise(c)
+
+
+def rounded_number(x: float, digits: int) -> float:
+    """rounded() of a plain number."""
+    scale = 10.0**digits
+    y = abs(x * scale)
+    if not y < math.inf:
+        return x
+    return math.copysign((math.floor(y) + (y % 1 >= 0.5)) / scale, x)
+
+
 def center_of(values: Column) -> Column:
     """Median of an array of numbers; two middle values are averaged."""
     ordered = F.array_sort(values)

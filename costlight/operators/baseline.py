@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import severity
+from ..functions import rounded, severity
 from . import robust
 
 WINDOW = 7
@@ -53,7 +53,7 @@ def anomalies(score: DataFrame) -> DataFrame:
 
 def top_anomalies(score: DataFrame, most: int = MAX_ANOMALIES, keys: Sequence[str] = ()) -> DataFrame:
     """The strongest by score (two decimals), earlier days first among equals."""
-    order = [F.desc(F.abs(F.round("zscore", 2))), F.asc("day")]
+    order = [F.desc(F.abs(rounded(F.col("zscore"), 2))), F.asc("day")]
     found = anomalies(score)
     if not keys:
         return found.orderBy(*order).limit(most)
@@ -70,7 +70,7 @@ def metrics(score: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.stddev_samp("cost"), F.lit(0.0)).alias("std"),
         F.count_if("is_anomaly").alias("n_anomalies"),
         F.coalesce(F.sum(F.when(above, F.col("residual"))), F.lit(0.0)).alias("excess"),
-        F.count_if(F.col("is_anomaly") & (F.round("cost", 2) > F.round("expected", 2))).alias("n_above"),
+        F.count_if(F.col("is_anomaly") & (rounded(F.col("cost"), 2) > rounded(F.col("expected"), 2))).alias("n_above"),
         F.percentile("cost", 0.1).alias("p10"),
     ).select(
         "*",
@@ -114,6 +114,6 @@ def evaluate(flagged: DataFrame, truth: DataFrame, keys: Sequence[str] = ()) ->
     share = lambda other: F.when(F.col("tp") + F.col(other) > 0, F.col("tp") / (F.col("tp") + F.col(other))).otherwise(F.when(F.col("tp") + F.col("fp") + F.col("fn") == 0, 1.0).otherwise(0.0))
     n = n.withColumn("p", share("fp")).withColumn("r", share("fn"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
-    return n.select(*keys, "tp", "fp", "fn", F.round("p", 3).alias("precision"), F.round("r", 3).alias("recall"), F.round(f1, 3).alias("f1"))
+    return n.select(*keys, "tp", "fp", "fn", rounded(F.col("p"), 3).alias("precision"), rounded(F.col("r"), 3).alias("recall"), rounded(f1, 3).alias("f1"))
 
 

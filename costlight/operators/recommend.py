@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rounded
 from .baseline import SEASON_DAYS
 from .series import attach
 
@@ -82,4 +83,4 @@ def recommendations(facts: DataFrame, services: DataFrame, analysis_type: str =
     if analysis_type != "efficiency":
         for part in (concentration(services, facts, keys), commitment(facts, keys), weekend(services, keys), excess(facts, keys)):
             out = part.unionByName(out)
-    return out.orderBy(*keys, F.desc(F.round("savings", 2)), "emit_order", "service_rank")
+    return out.orderBy(*keys, F.desc(rounded(F.col("savings"), 2)), "emit_order", "service_rank")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rounded
+
 TOP_SERVICES = 25
 
 
@@ -17,7 +19,7 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _cents(c: Column) -> Column:
-    return F.round(c, 6)
+    return rounded(c, 6)
 
 
 def daily_totals(items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

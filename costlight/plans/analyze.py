@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import functions as F
 
+from ..functions import rounded_number
 from ..operators import baseline, forecast, recommend, series
 from ..sources.billing import DEFAULT_CURRENCY, Billing
 
@@ -65,11 +66,11 @@ class Analysis:
 def _anomaly(r) -> Anomaly:
     side = "above" if r.cost > r.expected else "below"
     text = f"{r.cost:,.2f} spent, {abs(r.deviation):.1f}% {side} the {r.expected:,.2f} expected for this weekday"
-    return Anomaly(r.day.isoformat(), round(r.expected, 2), round(r.cost, 2), round(r.deviation, 2), round(r.zscore, 2), r.severity, text)
+    return Anomaly(r.day.isoformat(), rounded_number(r.expected, 2), rounded_number(r.cost, 2), rounded_number(r.deviation, 2), rounded_number(r.zscore, 2), r.severity, text)
 
 
 def _recommendation(r, currency: str) -> Recommendation:
-    saving = round(r.savings, 2)
+    saving = rounded_number(r.savings, 2)
     title, text = {
         "excess": lambda: ("Investigate spend above the modelled baseline", f"{int(r.detail)} day(s) cost more than expected; at this rate that is {saving:,.2f} {currency} in 30 days."),
         "weekend": lambda: (f"Idle weekend spend in {r.service}", f"{r.service} costs {r.detail:.0%} of its weekday spend at weekends; stopping it then saves up to {saving:,.2f} {currency} in 30 days."),
@@ -108,12 +109,12 @@ def analyze(billing: Billing, analysis_type: str = "waste-audit", *, max_anomali
         ahead = None
         if analysis_type == "cost-forecast" or budget is not None:
             f = forecast.forecast_summary(score, budget).first()
-            ahead = Forecast(f.horizon_days, round(f.projected_spend, 2), round(f.run_rate_spend, 2), round(f.daily_trend, 2), None if budget is None else round(budget, 2), f.budget_breach_day)
+            ahead = Forecast(f.horizon_days, rounded_number(f.projected_spend, 2), rounded_number(f.run_rate_spend, 2), rounded_number(f.daily_trend, 2), None if budget is None else rounded_number(budget, 2), f.budget_breach_day)
             trend = "rising" if ahead.dailyTrend > 0 else "falling" if ahead.dailyTrend < 0 else "flat"
             parts.append(f"Projected 30-day spend {ahead.projectedSpend:,.2f} ({trend}, {ahead.dailyTrend:+,.2f} a day).")
             if budget is not None:
                 parts.append(f"The budget is crossed on day {ahead.budgetBreachDay}." if ahead.budgetBreachDay else "The budget is not projected to be crossed.")
-        metrics = Metrics(round(m.mean, 2), round(m.std, 2), round(m.stability, 2), round(m.waste_percentage, 2))
+        metrics = Metrics(rounded_number(m.mean, 2), rounded_number(m.std, 2), rounded_number(m.stability, 2), rounded_number(m.waste_percentage, 2))
         return Analysis([_anomaly(r) for r in found], metrics, advice, " ".join(parts), ahead)
     finally:
         days.unpersist()

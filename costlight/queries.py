@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import parse_cost, parse_date, severity_rank
+from .functions import parse_cost, parse_date, rounded, severity_rank
 from .operators import baseline, forecast, recommend, robust, series
 from .plans import analyze, benchmark, notify, render
 from .server import answer
@@ -29,7 +29,7 @@ BUDGET = 4_000_000.0
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(f.name, 4).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
+    return df.select(*(rounded(F.col(f.name), 4).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema))
 
 
 def _add(name: str, sql: str | None):
@@ -553,7 +553,7 @@ def html_cells(spark, sf_dir):
 @_add("http_response", with_facts("spiked") + " SELECT round(mean, 2) AS averageDailyCost, round(std, 2) AS stdDeviation, round(stability, 2) AS sharpeRatio, round(waste_percentage, 2) AS wastePercentage, least(n_anomalies, 25) AS anomalies, 'anomalies,metrics,recommendations,summary' AS fields FROM facts")
 def http_response(spark, sf_dir):
     """A request with the daily totals of each event type (30 days of 5) as CSV text."""
-    days = spiked(spark, sf_dir).items.groupBy("day", "service").agg(F.round(F.sum("cost"), 6).alias("cost")).orderBy("day", "service").collect()
+    days = spiked(spark, sf_dir).items.groupBy("day", "service").agg(rounded(F.sum("cost"), 6).alias("cost")).orderBy("day", "service").collect()
     text = io.StringIO()
     csv.writer(text).writerows([("Date", "Service Name", "Cost"), *((r.day, r.service, repr(r.cost)) for r in days)])
     body = answer(spark, {"companyName": "x", "csvContent": text.getvalue()})

@@ -4,14 +4,16 @@ import json
 import threading
 import urllib.error
 import urllib.request
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from http.server import ThreadingHTTPServer
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from costlight import queries
 from costlight.errors import ParseError
-from costlight.functions import parse_cost, parse_date
+from costlight.functions import parse_cost, parse_date, rounded, rounded_number
 from costlight.plans import analyze, benchmark, notify, render
 from costlight.sources import from_dataframe, parse_billing_csv, read_billing_csv
 
@@ -218,6 +220,24 @@ def test_many_accounts_equal_one_by_one(spark):
     assert got == want and len(got) == 2
 
 
+def test_half_cents_are_rounded_as_in_sql(spark, tmp_path):
+    values = [1.005, 1.115, 2.675, 0.285, -1.115, 3642178.545, 1214059.515, 0.0, 1e300, 1e307, *(k * 0.0075 for k in range(1, 400)), *(485623.806 * k * 7.5 for k in range(1, 400))]
+    want = [x for (x,) in duckdb.execute("SELECT round(x, 2) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(len(?))) AS k) ORDER BY k", [values, values]).fetchall()]
+    assert [rounded_number(x, 2) for x in values] == want
+    got = spark.createDataFrame(list(enumerate(values)), "k int, x double").select("k", rounded(F.col("x"), 2).alias("x")).collect()
+    assert [r.x for r in sorted(got)] == want
+
+
+@pytest.mark.parametrize("name", ["report_summary", "report_recommendations"])
+def test_reports_of_half_cents_are_those_of_the_sql(spark, tmp_path, name):
+    first = datetime(2024, 1, 1)
+    rows = [(i, first + timedelta(days=i), "view" if i % 3 else "error", 485623.806) for i in range(31) if i != 14]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(queries.ORACLES[name]).fetchall())
+
+
 def test_stream_of_items(spark, tmp_path):
 
 
