@@ -85,8 +85,8 @@ class Scratch:
 
 
 def _cleanup(spark: SparkSession):
-    """Within it, the shuffle files of an action go when it ends."""
-    return settings(spark, **({CLEANUP.replace(".", "__"): "true"} if spark.conf.get(CLEANUP, None) is not None else {}))
+    """Within it, the shuffle files of an action go when it ends, not when the driver next collects its garbage."""
+    return settings(spark, **{CLEANUP.replace(".", "__"): "true"})
 
 
 @dataclass

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -169,3 +170,24 @@ def test_texts_longer_than_a_piece(spark):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup(df).collect()} == brute_words(rows, 13)
     got = {x.doc_id: (x.n_bytes, x.n_removed) for x in suffix_array_dedup(df).collect()}
     assert got == {i: v[:2] for i, v in brute_bytes(rows, 100).items()}
+
+
+def test_a_written_run_leaves_no_shuffle_files(spark):
+    """Else the shuffles of all batches lie on the disk until the driver happens to collect its garbage."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return set(re.findall(r"/shuffle_(\d+)_", files))
+
+    df = store.numbered(spark.createDataFrame(corpus(14), "doc_id long, text string").repartition(3))
+    df, _ = store.write(df, "texts")
+    index = RunIndex(spark, substring.SPEC)
+    before = shuffles()
+    index.scan(df)
+    for _ in range(20):
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    index.drop()
+    assert not left
